@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join, oracle_sql
+from . import bpe, decontam, line_dedup, ngram_join, oracle_sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.repeated_lines(_table(spark, d, "documents")),
+        "op5_decontamination": lambda spark, d: decontam.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark")),
+        "op6_toxicity": lambda spark, d: toxicity.passages(docs := _table(spark, d, "documents"), toxicity.fit(docs, _table(spark, d, "labels"))),
+        "op7_bpe": lambda spark, d: bpe.encode(_table(spark, d, "documents")),
         "op10_ngram_join": lambda spark, d: ngram_join.near_pairs(_table(spark, d, "documents")),
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_line_dedup": oracle_sql.line_sql(), "op10_ngram_join": oracle_sql.ngram_sql()}
+    return {"op1_line_dedup": oracle_sql.line_sql(), "op5_decontamination": decontam.leak_sql(), "op10_ngram_join": oracle_sql.ngram_sql()}
