@@ -6,9 +6,9 @@ only prefixes are shuffled, by element; length, position and suffix filters
 thin out the pairs, and each pair left is verified once on its whole sets.
 
 The order need only be the same everywhere to be exact. It takes the frequency
-of an element from a table of ``2**BUCKETS`` hashed counters over the whole
-corpus, whose size doesn't grow with the vocabulary, and breaks ties by hash.
-Elements are 45-bit hashes, equal sets are recognised by a 64-bit signature
+of a word from a table of ``2**BUCKETS`` hashed counters over the whole corpus,
+whose size doesn't grow with the vocabulary, that of an n-gram from the product
+of its words' frequencies, and breaks ties by hash. Elements are 45-bit hashes, equal sets are recognised by a 64-bit signature
 and take part once, so a passage copied a million times is one set here.
 
 Prefixes travel as packed columns, one row for a task and partition rather
@@ -26,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BROADCAST_BYTES, U64, checkpointed, flat, hashes, lower, mix, partitions, pieces, spans
+from ._text import BROADCAST_BYTES, U64, checkpointed, flat, hashes, lower, mix, partitions, pieces, spans, words
 
 BUCKETS = 18
 SLICES = 64
-TOKEN_BITS = 50
+TOKEN_BITS = 51
 MAX_SETS = 1 << (64 - TOKEN_BITS)
 _TOKEN = U64((1 << TOKEN_BITS) - 1)
 EPS = 1e-9
 
 #: Packed prefixes of a task are sent on when they reach so many entries.
 FLUSH = 1 << 20
+#: Bits of the bitmap of a large line.
+MAX_BITS = 4096
+#: So many candidates of a group are verified in one cell.
+CELL_PAIRS = 1 << 20
 #: Pairs that are looked at together within a partition.
 PAIRS = 1 << 21
 
@@ -58,12 +62,13 @@ class Spec:
         return size - np.ceil(self.threshold * size - EPS).astype(np.int64) + 1
 
 
-def elements(piece: pa.RecordBatch, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each element and the set it is in (ascending); row and line number of each set."""
+def elements(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each element, as its hash below its class of rarity (0 without classes), and the set it is in (ascending); row and line number of each set."""
     raw, offsets = flat(lower(piece.column("text")))
     starts, ends = spans(raw, offsets)
     h = hashes(raw, starts, ends)
     row = np.searchsorted(offsets, starts, "right") - 1
+    rare = np.zeros(len(h), np.uint64) if classes is None else classes[(h >> U64(64 - BUCKETS)).astype(np.int64)].astype(np.uint64)
     if spec.lines:
         breaks = np.flatnonzero(raw == 10)
         before = np.searchsorted(breaks, offsets)  # line ends before each row's start
@@ -71,40 +76,35 @@ def elements(piece: pa.RecordBatch, spec: Spec) -> tuple[np.ndarray, np.ndarray,
         first = np.cumsum(lines) - lines
         at = first[row] + np.searchsorted(breaks, starts) - before[row]
         of = np.repeat(np.arange(len(lines)), lines)
-        return h, at, of, np.arange(len(of)) - first[of]
+        return (rare << U64(45)) | (h >> U64(19)), at, of, np.arange(len(of)) - first[of]
     begin = np.searchsorted(row, np.arange(piece.num_rows))
     count = np.bincount(row, minlength=piece.num_rows)
-    acc, out_h, out_row = h.copy(), [], []
+    acc, mean, out, out_row = h.copy(), rare.copy(), [], []
+
+    def add(places: np.ndarray, k: int) -> None:
+        out.append(((mean[places] // U64(k)) << U64(45)) | (acc[places] >> U64(19)))
+        out_row.append(row[places])
+
     for k in range(1, spec.n):
-        short = np.flatnonzero(count == k)  # a text of fewer words than n is one element
-        out_h.append(acc[begin[short]])
-        out_row.append(short)
-        following = np.zeros_like(h)
-        following[:-k] = h[k:]
-        acc = mix(acc * U64(0xD6E8FEB86659FD93) + following)
+        add(begin[np.flatnonzero(count == k)], k)  # a text of fewer words than n is one element
+        acc[:-k] = mix(acc[:-k] * U64(0xD6E8FEB86659FD93) + h[k:])
+        mean[:-k] += rare[k:]
     if len(h) >= spec.n:
-        whole = np.flatnonzero(row[: len(row) - spec.n + 1] == row[spec.n - 1 :])
-        out_h.append(acc[whole])
-        out_row.append(row[whole])
-    if not out_h:
-        out_h, out_row = [h], [row]
+        add(np.flatnonzero(row[: len(row) - spec.n + 1] == row[spec.n - 1 :]), spec.n)
     at = np.concatenate(out_row)
     order = np.argsort(at, kind="stable")
     n = np.arange(piece.num_rows)
-    return np.concatenate(out_h)[order], at[order], n, np.zeros(len(n), np.int64)
+    return np.concatenate(out)[order], at[order], n, np.zeros(len(n), np.int64)
 
 
 def sets(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For some of the sets at a time: tokens in order, begin and size of each set that isn't empty, its row, line and signature."""
-    h, at, row, line = elements(piece, spec)
+    every, at, row, line = elements(piece, spec, classes)
     for low in range(0, len(row), MAX_SETS):
         i, j = np.searchsorted(at, [low, low + MAX_SETS])
         if i == j:
             continue
-        token = h[i:j] >> U64(19)
-        if classes is not None:
-            token |= classes[(h[i:j] >> U64(64 - BUCKETS)).astype(np.int64)].astype(np.uint64) << U64(45)
-        both = np.sort(((at[i:j] - low).astype(np.uint64) << U64(TOKEN_BITS)) | token)
+        both = np.sort(((at[i:j] - low).astype(np.uint64) << U64(TOKEN_BITS)) | every[i:j])
         both = both[np.concatenate(([True], both[1:] != both[:-1]))]
         which = (both >> U64(TOKEN_BITS)).astype(np.int64)
         token = both & _TOKEN
@@ -116,14 +116,14 @@ def sets(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> Itera
         yield token, begin, size, row[kept], line[kept], signature.view(np.int64)
 
 
-def rarity(docs: DataFrame, spec: Spec) -> np.ndarray:
-    """Logarithmic frequency class of each hashed counter, counted over all documents; always ``2**BUCKETS`` bytes."""
+def rarity(docs: DataFrame) -> np.ndarray:
+    """Logarithmic frequency class of each hashed counter of words, counted over all documents; always ``2**BUCKETS`` bytes."""
     width = (1 << BUCKETS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKETS, np.int64)
         for piece in pieces(batches, "text"):
-            h = elements(piece, spec)[0]
+            h = words(piece.column("text"))[0]
             total += np.bincount((h >> U64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
         if total.any():
             total = np.minimum(total, 2**32 - 1).astype(np.uint32)
@@ -140,7 +140,7 @@ def rarity(docs: DataFrame, spec: Spec) -> np.ndarray:
     counted = docs.select("text").mapInArrow(count, "slice int, data binary")
     for k, data in counted.repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(add, "slice int, data binary").collect():
         table[k * width : (k + 1) * width] = np.frombuffer(data, np.int64)
-    return np.floor(np.log2(np.maximum(table, 1))).astype(np.uint8)
+    return np.minimum(2 * np.log2(np.maximum(table, 1)), 63).astype(np.uint8)
 
 
 def units(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -155,12 +155,51 @@ def units(docs: DataFrame, spec: Spec) -> DataFrame:
     return docs.mapInArrow(run, "sig long, doc_id long, line int")
 
 
-def _pairs(key: np.ndarray, sig: np.ndarray, first: np.ndarray, pos: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of signatures that share a key and pass the length and positional filters."""
+def _width(size: np.ndarray, lines: bool) -> np.ndarray:
+    """64-bit words of a set's bitmap: as many bits as elements, rounded up, for lines; 1 for documents, which are too large for it to tell much."""
+    if not lines:
+        return np.ones(len(size), np.int64)
+    return (1 << np.ceil(np.log2(np.clip(size, 64, MAX_BITS))).astype(np.int64)) >> 6
+
+
+def _bitmaps(token: np.ndarray, begin: np.ndarray, size: np.ndarray, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Parity of each set's elements in the classes of its bitmap; and the bitmaps' first words (n + 1)."""
+    width = _width(size, lines)
+    first = np.concatenate(([0], np.cumsum(width)))
+    if not lines:
+        return np.bitwise_xor.reduceat(U64(1) << (token & U64(63)), begin), first
+    out = np.zeros(first[-1], np.uint64)
+    word = np.repeat(first[:-1], size) + ((token >> U64(6)).astype(np.int64) & np.repeat(width - 1, size))
+    np.bitwise_xor.at(out, word, U64(1) << (token & U64(63)))
+    return out, first
+
+
+def _differ(bits: np.ndarray, first: np.ndarray, width: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which two sets' bitmaps differ, the wider one folded onto the other: as many elements differ, at least."""
+    out = np.zeros(len(left), np.int64)
+    a, b = width[left], width[right]
+    for w in np.unique(np.minimum(a, b)).tolist():
+        some = np.flatnonzero(np.minimum(a, b) == w)
+        for k in range(w):
+            sides = []
+            for side, wide in ((left[some], a[some]), (right[some], b[some])):
+                word = bits[first[side] + k]
+                for more in range(w, int(wide.max()), w):
+                    has = wide > more
+                    word = np.where(has, word ^ bits[np.minimum(first[side] + k + more, len(bits) - 1)], word)
+                sides.append(word)
+            out[some] += np.bitwise_count(sides[0] ^ sides[1])
+    return out
+
+
+def _pairs(key: np.ndarray, sig: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray, t: float, lines: bool) -> Iterator[np.ndarray]:
+    """Rows a, b, size of a, size of b, for each key that two sets share, if they pass the filters by length, position and bitmap."""
+    width = _width(size, lines)
+    first = np.cumsum(width) - width
     order = np.lexsort((sig, size, key))
-    key, sig, first, pos, size = (x[order] for x in (key, sig, first, pos, size))
+    key, sig, pos, size, first, width = (x[order] for x in (key, sig, pos, size, first, width))
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])))
-    key, sig, first, pos, size = (x[fresh] for x in (key, sig, first, pos, size))
+    key, sig, pos, size, first, width = (x[fresh] for x in (key, sig, pos, size, first, width))
     group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
     # partners of i come after it in its group, and are at most size / t long
     wide = group.astype(np.float64) * 2.0**32
@@ -175,16 +214,18 @@ def _pairs(key: np.ndarray, sig: np.ndarray, first: np.ndarray, pos: np.ndarray,
         right = left + 1 + np.arange(len(left)) - np.repeat(total[begin:end] - many[begin:end] - base, many[begin:end])
         a, b = size[left], size[right]
         need = np.ceil(t / (1 + t) * (a + b) - EPS)
-        ok = 1 + np.minimum(a - pos[left], b - pos[right]) - 1 >= need
-        # the pair is found at the first element of both if that is the same: once is enough
-        ok &= (first[left] != first[right]) | (key[left] == first[left])
-        x, y = sig[left[ok]], sig[right[ok]]
-        yield np.minimum(x, y), np.maximum(x, y)
+        ok = np.minimum(pos[left], pos[right]) + np.minimum(a - pos[left], b - pos[right]) >= need
+        left, right, room = left[ok], right[ok], (a + b - 2 * need)[ok]
+        ok = _differ(bits, first, width, left, right) <= room
+        left, right = left[ok], right[ok]
+        swap = sig[left] > sig[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        yield np.stack((sig[left], sig[right], size[left], size[right]), 1)
         begin = end
 
 
-def candidates(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
-    """Distinct pairs (a, b) of signatures that may be similar."""
+def met(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of signatures whose prefixes share elements, with their sizes m, n and in c how many they share, in parts."""
     spark = docs.sparkSession
     parts = partitions(spark)
     table = spark.sparkContext.broadcast(classes)
@@ -194,14 +235,19 @@ def candidates(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
         entries = 0
 
         def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*held)]
+            columns = [np.concatenate(x) for x in list(zip(*held))[:4]]
+            bits, at = np.concatenate([x[4] for x in held]), np.concatenate([x[5] for x in held])
+            at += np.repeat(np.cumsum([0, *(len(x[4]) for x in held[:-1])]), [len(x[5]) for x in held])
             where = ((columns[0] * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % parts
-            order = np.argsort(where, kind="stable")
+            order = np.argsort(where.astype(np.uint16) if parts < 1 << 16 else where, kind="stable")
             columns = [x[order] for x in columns]
             bounds = np.searchsorted(where[order], np.arange(parts + 1))
             used = np.flatnonzero(np.diff(bounds))
-            data = [b"".join(x[bounds[k] : bounds[k + 1]].tobytes() for x in columns) for k in used]
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
+            width = _width(columns[3], spec.lines)
+            ends = np.concatenate(([0], np.cumsum(width)))
+            bits = bits[np.repeat(at[order] - ends[:-1], width) + np.arange(ends[-1])]
+            data = [b"".join((*(x[bounds[k] : bounds[k + 1]].tobytes() for x in columns), bits[ends[bounds[k]] : ends[bounds[k + 1]]].tobytes())) for k in used]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.diff(bounds)[used].astype(np.int32)), pa.array(data, pa.binary())], ["part", "entries", "data"])
 
         for piece in pieces(batches, "text"):
             for token, begin, size, _, _, signature in sets(piece, spec, table.value):
@@ -209,7 +255,8 @@ def candidates(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
                 many = spec.prefix(size[good])
                 which = np.repeat(good, many)
                 pos = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                held.append((token[begin[which] + pos], signature[which], token[begin[which]], pos.astype(np.uint32), size[which].astype(np.uint32)))
+                bits, at = _bitmaps(token, begin, size, spec.lines)
+                held.append((token[begin[which] + pos], signature[which], pos.astype(np.uint32), size[which].astype(np.uint32), bits, at[:-1][which]))
                 entries += len(which)
             if entries >= FLUSH:
                 yield flush()
@@ -219,43 +266,59 @@ def candidates(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-        kinds = ((np.uint64, 8), (np.int64, 8), (np.uint64, 8), (np.uint32, 4), (np.uint32, 4))
+        kinds = ((np.uint64, 8), (np.int64, 8), (np.uint32, 4), (np.uint32, 4))
         for batch in batches:
-            for data in batch.column("data"):
-                data = data.as_buffer().to_pybytes()
-                n, at = len(data) // 32, 0
+            for n, data in zip(batch.column("entries").to_pylist(), batch.column("data")):
+                data, at = data.as_buffer().to_pybytes(), 0
                 for into, (kind, width) in zip(columns, kinds):
                     into.append(np.frombuffer(data, kind, n, at))
                     at += n * width
+                columns[4].append(np.frombuffer(data, np.uint64, -1, at))
         if not columns[0]:
             return
-        key, sig, first, pos, size = (np.concatenate(x) for x in columns)
+        key, sig, pos, size, bits = (np.concatenate(x) for x in columns)
         del columns
         found: list[np.ndarray] = []
         held = 0
-        for a, b in _pairs(key, sig, first, pos.astype(np.int64), size.astype(np.int64), spec.threshold):
-            found.append(np.stack((a, b), 1))
-            held += len(a)
+        for rows in _pairs(key, sig, pos.astype(np.int64), size.astype(np.int64), bits, spec.threshold, spec.lines):
+            found.append(np.concatenate((rows, np.ones((len(rows), 1), np.int64)), 1))
+            held += len(rows)
             if held > 2 * PAIRS:
-                found = [_unique(np.concatenate(found))]
+                found = [_counted(np.concatenate(found))]
                 held = len(found[0])
                 if held > PAIRS:
                     yield _rows(found.pop())
                     held = 0
         if held:
-            yield _rows(_unique(np.concatenate(found)))
+            yield _rows(_counted(np.concatenate(found)))
 
-    packed = docs.select("text").mapInArrow(emit, "part int, data binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(join, "a long, b long").distinct()
+    packed = docs.select("text").mapInArrow(emit, "part int, entries int, data binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(join, "a long, b long, m int, n int, c int")
 
 
-def _unique(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
+def candidates(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
+    """Distinct pairs (a, b) of signatures that may be similar.
+
+    The elements that both prefixes share are counted. What two sets have in
+    common beyond their prefixes is in the suffix of one of them, so too small
+    a count rules a pair out.
+    """
+    t = spec.threshold
+    suffix = F.greatest(F.ceil(t * F.col("m") - EPS), F.ceil(t * F.col("n") - EPS)) - 1
+    return met(docs, spec, classes).groupBy("a", "b").agg(F.max("m").alias("m"), F.max("n").alias("n"), F.sum("c").alias("c")).where(F.col("c") + suffix >= F.ceil(t / (1 + t) * (F.col("m") + F.col("n")) - EPS)).select("a", "b")
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """One row for each pair, with the sum of the last column."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    begin = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+    out = rows[begin]
+    out[:, 4] = np.add.reduceat(rows[:, 4], begin)
+    return out
 
 
-def _rows(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _rows(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int32)) for k in (2, 3, 4))], ["a", "b", "m", "n", "c"])
 
 
 def overlaps(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, t: float, limit: int = 1 << 21) -> np.ndarray:
@@ -293,15 +356,19 @@ def verify(docs: DataFrame, spec: Spec, pairs: DataFrame, first: DataFrame) -> D
     """The pairs (a, b) that reach the threshold, with ``jaccard``.
 
     ``first`` has sig, doc_id, line of each distinct set. The sets of the
-    candidates are read again from their documents and meet in the cells of a
-    grid over both sides' signatures: a set with thousands of partners is sent
-    to as many cells as the grid is wide, not once for each partner.
+    candidates are read again from their documents and meet in cells. A pair
+    belongs to the least partner of its smaller side, so a group of near copies
+    meets in one cell, and each of its sets is sent once; a group of many pairs
+    has as many cells as they need, in a grid over both sides.
     """
     spark = docs.sparkSession
-    side = max(1, math.ceil(math.sqrt(2 * partitions(spark))))
+    cells = 4 * partitions(spark)
     t = spec.threshold
-    cell = (F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))).cast("int")
-    pairs = pairs.withColumn("cell", cell)
+    owner = pairs.select(F.col("a").alias("sig"), F.col("b").alias("other")).union(pairs.select("b", "a")).groupBy("sig").agg(F.least(F.min("other"), F.col("sig")).alias("owner"))
+    owned = pairs.join(owner.withColumnRenamed("sig", "a"), "a")
+    wide = owned.groupBy("owner").agg(F.ceil(F.sqrt(F.count("*") / F.lit(CELL_PAIRS))).alias("wide"))
+    cell = F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("a"), "wide"), F.pmod(F.xxhash64("b"), "wide")), F.lit(cells)).cast("int")
+    pairs = checkpointed(owned.join(wide, "owner").select("a", "b", cell.alias("cell")))
     sent = pairs.select(F.explode(F.array("a", "b")).alias("sig"), "cell").groupBy("sig").agg(F.collect_set("cell").alias("cells"))
     wanted = sent.join(first, "sig").groupBy("doc_id").agg(F.collect_list(F.struct("sig", "line", "cells")).alias("wanted"))
 
@@ -351,5 +418,5 @@ def similar(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame, DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     all_units = checkpointed(units(docs, spec))
     first = all_units.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("sig", "at.doc_id", "at.line")
-    pairs = checkpointed(candidates(docs, spec, rarity(docs, spec)))
+    pairs = checkpointed(candidates(docs, spec, rarity(docs)))
     return all_units, first, verify(docs, spec, pairs, first)
