@@ -32,6 +32,8 @@ RULES: tuple[tuple[str, bytes, bool, int, re.Pattern[bytes]], ...] = tuple(
         ("jwt", b"eyJ", False, 0, rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
         ("private_key", b"PRIVATE KEY-----", False, 32, rb"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
         *(("assigned_secret", word, True, 0, rb"(?i:" + re.escape(word) + rb")[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[^\s\"'<>,;&]{8,}") for word in (b"password", b"passwd", b"secret", b"api_key", b"apikey", b"api-key", b"access_token", b"auth_token")),
+        # a bare "token" is also an ordinary word, so its value must look like one: long, without blanks, with a digit
+        ("assigned_secret", b"token", True, 0, rb"(?i:token)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?(?=[A-Za-z_./+-]{0,64}[0-9])[A-Za-z0-9_./+-]{16,}"),
     )
 )
 #: Shorter runs aren't taken for base64.
@@ -46,10 +48,9 @@ _HEX = np.zeros(256, np.bool_)
 for _c in b"0123456789abcdefABCDEF":
     _HEX[_c] = True
 _RUN = re.compile(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_RUN)
-_PERCENT = re.compile(rb"\S*%[0-9A-Fa-f]{2}\S*")
 _PERCENT_ONE = re.compile(rb"%([0-9A-Fa-f]{2})")
-_UNICODE = re.compile(rb"\S*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)\S*")
 _UNICODE_ONE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_BLANK = re.compile(rb"\s")
 _PRINT = frozenset(range(32, 127)) | {9, 10, 13}
 _TABLE = bytes(sorted(_PRINT))
 
@@ -68,7 +69,11 @@ def secrets(data: bytes) -> list[tuple[int, int, str]]:
             if m:
                 out.setdefault(m.span(), kind)
             at = where.find(anchor, at + 1)
-    return [(*span, kind) for span, kind in sorted(out.items())]
+    found: list[tuple[int, int, str]] = []
+    for (a, b), kind in sorted(out.items(), key=lambda x: (x[0][0], -x[0][1])):
+        if not any(k == kind and b <= e for _, e, k in found[-4:]):  # access_token=... is one secret, not also token=...
+            found.append((a, b, kind))
+    return found
 
 
 def _substituted(token: bytes, one: re.Pattern[bytes], value) -> tuple[bytes, np.ndarray]:
@@ -151,16 +156,29 @@ def _base64(run: bytes) -> bytes | None:
         return None
 
 
+def _words(data: bytes, one: re.Pattern[bytes]) -> Iterator[tuple[int, int]]:
+    """Spans of the runs without white space that hold an escape, each once, in time linear in the data."""
+    end = 0
+    for m in one.finditer(data):
+        if m.start() < end:
+            continue
+        back = max((data.rfind(c, end, m.start()) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")), default=-1)
+        start = max(back + 1, end)
+        blank = _BLANK.search(data, m.end())
+        end = blank.start() if blank else len(data)
+        yield start, end
+
+
 def layers(data: bytes) -> Iterator[tuple[str, bytes | None, int, int, np.ndarray | None]]:
     """What is encoded in a layer: codec, content, the span in the layer, and for escapes where each byte comes from."""
     if b"%" in data:
-        for m in _PERCENT.finditer(data):
-            new, places = _substituted(m[0], _PERCENT_ONE, lambda x: bytes([int(x[1], 16)]))
-            yield "url", new, *m.span(), places
+        for a, b in _words(data, _PERCENT_ONE):
+            new, places = _substituted(data[a:b], _PERCENT_ONE, lambda x: bytes([int(x[1], 16)]))
+            yield "url", new, a, b, places
     if b"\\" in data or b"&#" in data:
-        for m in _UNICODE.finditer(data):
-            new, places = _join_surrogates(*_substituted(m[0], _UNICODE_ONE, _code_point))
-            yield "unicode", new, *m.span(), places
+        for a, b in _words(data, _UNICODE_ONE):
+            new, places = _join_surrogates(*_substituted(data[a:b], _UNICODE_ONE, _code_point))
+            yield "unicode", new, a, b, places
     for m in _RUN.finditer(data):
         raw = _base64(m[0])
         if raw is None:
