@@ -24,8 +24,8 @@ from ._text import U64, pieces, small, words
 
 #: Size of the prior against the smaller class, and the least z-score of a significant word.
 PRIOR, Z = 0.1, 2.33
-#: The model's most significant words that are kept; it is broadcast.
-MAX_WORDS = 2_000_000
+#: The model is fitted on at most so many labelled documents, those whose id has the least hash; that also bounds its words, which are broadcast.
+FIT_ROWS = 200_000
 #: Words are told apart by so many bits of their hash.
 WORD_BITS = 52
 _DOCS = 1 << (64 - WORD_BITS - 1)
@@ -101,9 +101,10 @@ def _scored(piece: pa.RecordBatch, model: Model) -> Iterator[tuple[int, int, lis
         yield r, int(offsets[r + 1] - offsets[r]), segments((hit[k] - offsets[r]).tolist(), model.scores[spot[hit[k]]].tolist(), model.drift)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the labelled documents; equal texts count once, as toxic if any is."""
+def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """text, toxic of at most ``fit_rows`` labelled documents; equal texts count once, as toxic if any is."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    labels = labels.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     if small(labels, 24):
         labels = F.broadcast(labels)
     both = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null").join(labels, "__id")
@@ -148,7 +149,7 @@ def _log_odds(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     a, b = F.col("y1") + prior, F.col("y0") + prior
     score = F.log(a / (F.lit(n1 + size) - a)) - F.log(b / (F.lit(n0 + size) - b))
     z = score / F.sqrt(1 / a + 1 / b)
-    top = counts.select("w", "y1", "y0", score.alias("score"), z.alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "w").limit(MAX_WORDS).toArrow()
+    top = counts.select("w", "y1", "y0", score.alias("score"), z.alias("z")).where(F.col("z") >= Z).orderBy("w").toArrow()
     counts.unpersist()
     w = top.column("w").to_numpy().astype(np.uint64)
     f1, f0 = top.column("y1").to_numpy().sum() / n1, top.column("y0").to_numpy().sum() / n0
@@ -156,14 +157,15 @@ def _log_odds(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return w[order], top.column("score").to_numpy()[order], min(math.log((1 - min(f1, 0.999)) / (1 - min(f0, 0.999))), -1e-4)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits words, extreme-value law and threshold on all labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Fits words, extreme-value law and threshold on the labelled documents.
 
+    At most ``fit_rows`` of them are used, those whose id has the least hash.
     Null labels and texts don't count, nor does a label without a document; of
     a document's labels the most toxic counts. Without both kinds of labelled
     texts nothing is toxic.
     """
-    labelled = _labelled(docs, labels)
+    labelled = _labelled(docs, labels, fit_rows)
     w, s, drift = _log_odds(labelled)
     spark = docs.sparkSession
     if not len(w):
