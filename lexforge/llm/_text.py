@@ -123,11 +123,13 @@ def word_hash(text: str) -> int:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Sees to it that checkpoints have a folder: the cluster's, or where it names none, a local one."""
+    """Sees to it that checkpoints have a folder: the cluster's, or where a local session names none, a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexforge-checkpoints"))
 
 
@@ -148,3 +150,11 @@ BROADCAST_BYTES = 64 << 20
 def small(df: DataFrame, row_bytes: int) -> bool:
     """Whether the rows are known, by counting them, to be few enough for a broadcast."""
     return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until the table has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

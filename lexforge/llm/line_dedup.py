@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._setjoin import Spec, similar
+from ._text import fresh
 
 #: Lines count as the same from this Jaccard similarity of their sets of words on.
 THRESHOLD = 0.8
@@ -44,14 +45,15 @@ def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     A document that had words and of which nothing but white space is left is
     dropped. Rows with a null ``doc_id`` or ``text`` stay as they are.
     """
-    gone = repeated.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    key, lost = fresh(docs, "__id"), fresh(docs, "__gone")
+    gone = repeated.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(lost))
+    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
     columns = [c for c in docs.columns]
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").withColumn("text", F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
-    out = out.where(F.col("__gone").isNull() | F.col("text").isNull() | F.col("text").rlike(r"\S"))
+    out = docs.join(gone, F.col("doc_id") == F.col(key), "left").withColumn("text", F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
+    out = out.where(F.col(lost).isNull() | F.col("text").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+        out = out.withColumn("n_chars", F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*(f"`{c}`" for c in columns))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._setjoin import Spec, similar
-from ._text import checkpointed
+from ._text import checkpointed, fresh
 
 #: Words of an n-gram, and the least Jaccard similarity of near duplicates.
 N, THRESHOLD = 2, 0.6
@@ -60,5 +60,6 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those of a group of near duplicates that aren't its first; rows with a null ``doc_id`` or ``text`` stay."""
-    gone = groups(near_pairs(docs, n, threshold)).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    key = fresh(docs, "__id")
+    gone = groups(near_pairs(docs, n, threshold)).select(F.col("doc_id").alias(key))
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
