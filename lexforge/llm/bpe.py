@@ -25,7 +25,7 @@ from ._text import U64, flat, hashes, pieces
 #: Where the rank file is by default.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text that are encoded together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Words that a task keeps with their ids, so as to merge them once.
 CACHE = 1 << 19
 #: Longer words (in bytes) merge one by one along a heap.
