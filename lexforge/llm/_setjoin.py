@@ -36,13 +36,13 @@ _TOKEN = U64((1 << TOKEN_BITS) - 1)
 EPS = 1e-9
 
 #: Packed prefixes of a task are sent on when they reach so many entries.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Bits of the bitmap of a large line.
 MAX_BITS = 4096
 #: So many candidates of a group are verified in one cell.
 CELL_PAIRS = 1 << 20
 #: Pairs that are looked at together within a partition.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -321,7 +321,7 @@ def _rows(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int32)) for k in (2, 3, 4))], ["a", "b", "m", "n", "c"])
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, t: float, limit: int = 1 << 21) -> np.ndarray:
+def overlaps(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, t: float, limit: int = 1 << 20) -> np.ndarray:
     """Common tokens of sets a[i] and b[i]; -1 where the suffix filter shows that they don't suffice.
 
     The filter splits the tokens into 16 ranges of hashes; no more can be

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x00-/:-@\[-^`{-\x7f]+"
 
 #: Bytes of text that are worked on at once; a longer single text is worked on by itself.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
