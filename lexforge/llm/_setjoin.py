@@ -366,9 +366,11 @@ def verify(docs: DataFrame, spec: Spec, pairs: DataFrame, first: DataFrame) -> D
     t = spec.threshold
     owner = pairs.select(F.col("a").alias("sig"), F.col("b").alias("other")).union(pairs.select("b", "a")).groupBy("sig").agg(F.least(F.min("other"), F.col("sig")).alias("owner"))
     owned = pairs.join(owner.withColumnRenamed("sig", "a"), "a")
-    wide = owned.groupBy("owner").agg(F.ceil(F.sqrt(F.count("*") / F.lit(CELL_PAIRS))).alias("wide"))
+    # only owners of more than CELL_PAIRS pairs, so one row for as many pairs at most: small enough to broadcast
+    wide = owned.groupBy("owner").agg(F.count("*").alias("many")).where(F.col("many") > CELL_PAIRS).select("owner", F.ceil(F.sqrt(F.col("many") / F.lit(CELL_PAIRS))).alias("_wide"))
+    owned = owned.join(F.broadcast(wide), "owner", "left").withColumn("wide", F.coalesce("_wide", F.lit(1).cast("long")))
     cell = F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("a"), "wide"), F.pmod(F.xxhash64("b"), "wide")), F.lit(cells)).cast("int")
-    pairs = checkpointed(owned.join(wide, "owner").select("a", "b", cell.alias("cell")))
+    pairs = checkpointed(owned.select("a", "b", cell.alias("cell")))
     sent = pairs.select(F.explode(F.array("a", "b")).alias("sig"), "cell").groupBy("sig").agg(F.collect_set("cell").alias("cells"))
     wanted = sent.join(first, "sig").groupBy("doc_id").agg(F.collect_list(F.struct("sig", "line", "cells")).alias("wanted"))
 
