@@ -139,6 +139,15 @@ def extract(root: Node, template: frozenset[int] | set[int]) -> tuple[str, int]:
     return "\n".join(line for line in lines if line), removed
 
 
+TEXTS = "page_id long, host string, text string, removed int"
+
+
+def _texts(piece: pa.RecordBatch, pages: list[tuple[str | None, set[int]]]) -> pa.RecordBatch:
+    """Rows of :data:`TEXTS` of a batch, whose pages are given with their templates."""
+    found = [(None, 0) if t is None else extract(parse(t), template) for t, template in pages]
+    return pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("host"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())], ["page_id", "host", "text", "removed"])
+
+
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """Text of every page without the subtrees that recur on its host.
 
@@ -173,14 +182,27 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     counted = nodes.groupBy("site", "node").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     template = checkpointed(counted.join(sizes, "site").where(F.col("n") >= share * F.col("pages")).select("site", "node"))
     if small(template, 32):
-        template = F.broadcast(template)
+        # the pages stay where they are; a page's own subtrees among its site's are the same as in the join below
+        sites: dict[int, set[int]] = {}
+        for site, node in template.toLocalIterator():
+            sites.setdefault(site, set()).add(node)
+        shared = pages.sparkSession.sparkContext.broadcast(sites)
+
+        def text_of_site(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none: set[int] = set()
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    piece = batch.slice(k, 256)
+                    hosts, htmls = piece.column("host").to_pylist(), piece.column("html").to_pylist()
+                    yield _texts(piece, [(t, shared.value.get(s, none) if h else none) for s, h, t in zip(piece.column("site").to_pylist(), hosts, htmls)])
+
+        return pages.select("page_id", "host", "html", "site").mapInArrow(text_of_site, TEXTS)
     gone = nodes.join(template, ["site", "node"]).groupBy("site", "page").agg(F.collect_list("node").alias("gone"))
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
-                found = [(None, 0) if t is None else extract(parse(t), set(g or ())) for t, g in zip(piece.column("html").to_pylist(), piece.column("gone").to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("host"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())], ["page_id", "host", "text", "removed"])
+                yield _texts(piece, [(t, set(g or ())) for t, g in zip(piece.column("html").to_pylist(), piece.column("gone").to_pylist())])
 
-    return pages.join(gone, ["site", "page"], "left").select("page_id", "host", "html", "gone").mapInArrow(text, "page_id long, host string, text string, removed int")
+    return pages.join(gone, ["site", "page"], "left").select("page_id", "host", "html", "gone").mapInArrow(text, TEXTS)
