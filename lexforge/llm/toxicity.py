@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._text import U64, pieces, small, words
 
 #: Size of the prior against the smaller class, and the least z-score of a significant word.
-PRIOR, Z = 0.1, 2.33
+PRIOR, Z = 0.1, 6.0
 #: The model is fitted on at most so many labelled documents, those whose id has the least hash; that also bounds its words, which are broadcast.
 FIT_ROWS = 200_000
 #: Words are told apart by so many bits of their hash.
