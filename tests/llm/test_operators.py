@@ -11,7 +11,7 @@ import tiktoken
 
 from lexforge.llm import bpe, decontam, html_template, line_dedup, ngram_join, quality, secret_scan, sharding, toxicity, url_filter
 from lexforge.llm import queries as llm
-from lexforge.llm._text import WORD
+from lexforge.llm._text import WORD, word_hash
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig long, line int, first long, __id int, __gone int, jaccard double, owner int"
@@ -125,6 +125,30 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(x not in left for x in bad) >= 0.8 * len(bad) and sum(x in left for x in good) >= 0.97 * len(good)
 
 
+def test_toxicity_of_few_labels(spark):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    d = spark.read.parquet(f"{D}/documents.parquet")
+    left = {r.doc_id for r in toxicity.harmless(d, toxicity.fit(d, labels)).collect()}
+    bad, good = [r.doc_id for r in labels.collect() if r.toxic], [r.doc_id for r in labels.collect() if not r.toxic]
+    assert sum(x not in left for x in bad) >= 0.4 * len(bad) and sum(x in left for x in good) >= 0.97 * len(good)
+
+
+def test_near_copies_give_no_toxic_words(spark):
+    rng = np.random.default_rng(2)
+    plain = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
+    chance = [f"c{k}" for k in range(40)]
+    base = plain(60) + chance
+    texts = [" ".join([*base, f"end{k}"]) for k in range(20)] + [" ".join(plain(60) + ["insult"]) for _ in range(40)] + [" ".join(plain(80)) for _ in range(300)]
+    labels = spark.createDataFrame([(k, int(k < 60)) for k in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels)
+    known = {toxicity_word(x) for x in ("insult", *chance)}
+    assert {int(w) for w in model.words} & known == {toxicity_word("insult")}
+
+
+def toxicity_word(word):
+    return word_hash(word) >> 64 - toxicity.WORD_BITS
+
+
 def test_quality_on_held_out_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
