@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ._text import checkpointed, small
 from .url_filter import host_of
 
-#: A subtree is a template if so many different pages of its host have it, and so large a share of them.
-MIN_PAGES, SHARE = 5, 0.001
+#: A subtree is a template if pages of so many different contents of its host have it, and so large a share of them.
+MIN_PAGES, SHARE = 5, 0.1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
@@ -115,6 +115,17 @@ def subtrees(root: Node) -> set[int]:
     return out
 
 
+def bare(root: Node) -> int:
+    """Hash of the text outside of all elements that can be deleted; of a page without any, that of nothing."""
+    out: list[str] = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        out.extend(" ".join(x.split()) for x in node.children if isinstance(x, str))
+        todo.extend(x for x in node.children if isinstance(x, Node) and x.tag in _KEPT)
+    return xxhash.xxh3_64_intdigest("\1" + "\0".join(x for x in out if x)) - (1 << 63)
+
+
 def extract(root: Node, template: frozenset[int] | set[int]) -> tuple[str, int]:
     """Text of a page without these subtrees, and how many were deleted; block elements are lines, white space is single blanks."""
     parts: list[str] = []
@@ -152,9 +163,11 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     """Text of every page without the subtrees that recur on its host.
 
     Returns page_id, host, text and removed, the number of deleted subtrees.
-    An element that holds text is deleted if at least ``min_pages`` different
-    pages of the host have the same, and ``share`` of its pages; equal pages
-    count once, and however often an element occurs on a page.
+    An element that holds text is deleted if pages of at least ``min_pages``
+    different contents of the host have the same, and ``share`` of them. A
+    page's content is what it has besides the elements that so many pages
+    share, so copies of an article count once, whatever their scripts, and
+    however often an element occurs on a page.
 
     A null ``html`` gives a null text and 0, an empty one an empty text. Pages
     without a host (or a null URL) lose nothing; repeated rows and null
@@ -170,7 +183,9 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
                 piece = batch.slice(k, 256)
                 site, node, page = [], [], []
                 for s, p, text in zip(*(piece.column(c).to_pylist() for c in ("site", "page", "html"))):
-                    found = subtrees(parse(text))
+                    root = parse(text)
+                    found = subtrees(root)
+                    found.add(bare(root))
                     node.extend(found)
                     site.extend([s] * len(found))
                     page.extend([p] * len(found))
@@ -178,8 +193,12 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
     hosted = pages.where("host <> '' and html is not null")
     nodes = checkpointed(hosted.select("site", "page", "html").mapInArrow(hashed, "site long, node long, page long").distinct())
-    sizes = hosted.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
-    counted = nodes.groupBy("site", "node").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    common = checkpointed(nodes.groupBy("site", "node").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("site", "node"))
+    near = F.broadcast(common) if small(common, 32) else common
+    own = nodes.join(near, ["site", "node"], "left_anti").groupBy("site", "page").agg(F.bit_xor(F.xxhash64("node")).alias("content"))
+    contents = checkpointed(nodes.select("site", "page").distinct().join(own, ["site", "page"], "left").select("site", "page", F.coalesce("content", F.lit(0)).alias("content")))
+    sizes = contents.groupBy("site").agg(F.countDistinct("content").alias("pages"))
+    counted = nodes.join(near, ["site", "node"]).join(contents, ["site", "page"]).groupBy("site", "node").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= min_pages)
     template = checkpointed(counted.join(sizes, "site").where(F.col("n") >= share * F.col("pages")).select("site", "node"))
     if small(template, 32):
         # the pages stay where they are; a page's own subtrees among its site's are the same as in the join below

@@ -210,6 +210,14 @@ def test_templates_against_brute_force(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_template.extracted(pages).collect()} == want
 
 
+def test_copies_and_chance_are_no_template(spark):
+    page = lambda k, x: f"<html><body><script>n={k}</script><nav>menu</nav><article><p>{x}</p><p>by chance</p></article></body></html>" if k < 6 else f"<html><body><nav>menu</nav><p>{x}</p></body></html>"
+    texts = ["copied"] * 6 + [f"own {k}" for k in range(60)]
+    pages = spark.createDataFrame([(k, f"http://h.example.com/{k}", page(k, x)) for k, x in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extracted(pages).collect()}
+    assert got == {k: f"{x}\nby chance" if k < 6 else x for k, x in enumerate(texts)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
