@@ -48,6 +48,9 @@ _HEX = np.zeros(256, np.bool_)
 for _c in b"0123456789abcdefABCDEF":
     _HEX[_c] = True
 _RUN = re.compile(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_RUN)
+_WRAPPED = re.compile(rb"(?:[A-Za-z0-9+/_-]{%d,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}" % BASE64_RUN)
+_BREAK = re.compile(rb"\r?\n[ \t]*")
+_BOUNDARY = re.compile(rb"[/_-]")
 _PERCENT_ONE = re.compile(rb"%([0-9A-Fa-f]{2})")
 _UNICODE_ONE = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BLANK = re.compile(rb"\s")
@@ -156,6 +159,40 @@ def _base64(run: bytes) -> bytes | None:
         return None
 
 
+def _good(raw: bytes | None) -> bool:
+    return raw is not None and (_plausible(raw) or _inflated(raw) is not None)
+
+
+def _opened(run: bytes) -> Iterator[tuple[int, bytes]]:
+    """From where the run decodes, and to what: as a whole, else after its first inner boundary that gives sense, else at the alignments that show a secret."""
+    whole = _base64(run)
+    if _good(whole):
+        yield 0, whole
+        return
+    for m in _BOUNDARY.finditer(run):
+        k = m.end()
+        head = _base64(run[k : k + 24])
+        # what is wrong from its head on isn't decoded whole, so a long run stays linear
+        if len(run) - k >= BASE64_RUN and head and (head[:2] in (b"\x1f\x8b", b"BZ", b"\xfd7", b"\x28\xb5") or head[0] & 15 == 8 or _plausible(head[:12])) and _good(raw := _base64(run[k:])):
+            yield k, raw
+            return
+    plain = run.rstrip(b"=")
+    for k in range(4):
+        raw = _base64(plain[k : len(plain) - (len(plain) - k) % 4])
+        if raw and secrets(raw):
+            yield k, raw
+
+
+def _runs(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Spans and characters of what may be base64: runs, and those that go on over line breaks without them."""
+    done = 0
+    for m in _RUN.finditer(data):
+        yield *m.span(), m[0]
+        if m.start() >= done and (w := _WRAPPED.match(data, m.start())):
+            done = w.end()
+            yield *w.span(), _BREAK.sub(b"", w[0])
+
+
 def _words(data: bytes, one: re.Pattern[bytes]) -> Iterator[tuple[int, int]]:
     """Spans of the runs without white space that hold an escape, each once, in time linear in the data."""
     end = 0
@@ -179,15 +216,13 @@ def layers(data: bytes) -> Iterator[tuple[str, bytes | None, int, int, np.ndarra
         for a, b in _words(data, _UNICODE_ONE):
             new, places = _join_surrogates(*_substituted(data[a:b], _UNICODE_ONE, _code_point))
             yield "unicode", new, a, b, places
-    for m in _RUN.finditer(data):
-        raw = _base64(m[0])
-        if raw is None:
-            continue
-        inner = _inflated(raw)
-        if inner is not None:
-            yield f"base64+{inner[0]}", inner[1], *m.span(), None
-        elif _plausible(raw):
-            yield "base64", raw, *m.span(), None
+    for a, b, run in _runs(data):
+        for k, raw in _opened(run):
+            inner = _inflated(raw)
+            if inner is not None:
+                yield f"base64+{inner[0]}", inner[1], a + k, b, None
+            else:
+                yield "base64", raw, a + k, b, None
     inner = _inflated(data)
     if inner is not None:
         yield inner[0], inner[1], 0, len(data), None
@@ -268,14 +303,13 @@ def suspects(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for a, b in zip(start[long_].tolist(), end[long_].tolist()):
         # a run may reach over the ends of rows
         row = np.searchsorted(offsets, [a, b - 1], "right") - 1
-        if row[0] != row[1] or _decodes(data[a:b]):
+        if row[0] != row[1] or data[b : b + 1] in (b"\r", b"\n") or _decodes(data[a:b]):
             rows[row[0] : row[1] + 1] = True
     return rows
 
 
 def _decodes(word: bytes) -> bool:
-    raw = _base64(word)
-    return raw is not None and (_plausible(raw) or _inflated(raw) is not None)
+    return next(_opened(word), None) is not None
 
 
 def found(docs: DataFrame) -> DataFrame:

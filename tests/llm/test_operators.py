@@ -191,6 +191,22 @@ def test_secrets_in_layers(spark):
     assert texts[3].encode()[got[3].start : got[3].end].decode() == hidden
 
 
+def found_in(text):
+    data = text if isinstance(text, bytes) else text.encode()
+    rows = secret_scan.suspects(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return {x[5] for x in secret_scan.scan(data)} if rows[0] else set()
+
+
+def test_secrets_in_wrapped_and_prefixed_base64():
+    key = b"AKIA" + b"Q7" * 8
+    noise = np.random.default_rng(1).bytes(400).hex().encode()
+    for body in (b"some words before it " * 3 + key + b" and after", gzip.compress(noise + b" " + key + b" " + noise)):
+        one = base64.b64encode(body).decode()
+        lines = [one[k : k + 64] for k in range(0, len(one), 64)]
+        for text in ("\n".join(lines), "\r\n".join(lines), f"see /cb/{one}", f"x_{one}"):
+            assert key in found_in(text), text[:80]
+
+
 def test_urls_by_trie_and_by_join(spark):
     rules = [("a.com", "block"), ("x.a.com/p", "allow"), ("a.com/p/q", "allow"), ("x.a.com", "block")]
     urls = ["http://A.com:80/", "http://x.a.com/p/1", "https://y.a.com/p/q", "http://x.a.com/p2", "http://ba.com", "ftp://u@x.a.com./p?z"]
