@@ -137,7 +137,7 @@ def _limited(machine, data: bytes) -> bytes | None:
 
 
 def _plausible(data: bytes) -> bool:
-    """Text, as opposed to chance: nearly all bytes printable, or UTF-8 without control signs."""
+    """Text, as opposed to chance: all bytes printable, or UTF-8 without control signs. Other layers are scanned, but not unwrapped further."""
     if not data:
         return False
     if len(data.translate(None, _TABLE)) == 0:
@@ -160,7 +160,16 @@ def _base64(run: bytes) -> bytes | None:
 
 
 def _good(raw: bytes | None) -> bool:
-    return raw is not None and (_plausible(raw) or _inflated(raw) is not None)
+    return raw is not None and (_plausible(raw) or _inflated(raw) is not None or bool(secrets(raw)) or bool((wide := _utf16(raw)) and (_plausible(wide) or secrets(wide))))
+
+
+def _utf16(data: bytes) -> bytes | None:
+    """The layer in UTF-8 if it may be UTF-16, with or without a byte order mark."""
+    even, odd = data[::2].count(0), data[1::2].count(0)
+    if 4 * max(even, odd) < len(data) // 2 and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+        return None
+    big = data[:2] == b"\xfe\xff" or data[:2] != b"\xff\xfe" and even > odd
+    return data.decode("utf-16-be" if big else "utf-16-le", "ignore").lstrip("\ufeff").encode()
 
 
 def _opened(run: bytes) -> Iterator[tuple[int, bytes]]:
@@ -179,7 +188,7 @@ def _opened(run: bytes) -> Iterator[tuple[int, bytes]]:
     plain = run.rstrip(b"=")
     for k in range(4):
         raw = _base64(plain[k : len(plain) - (len(plain) - k) % 4])
-        if raw and secrets(raw):
+        if raw and (secrets(raw) or (wide := _utf16(raw)) and secrets(wide)):
             yield k, raw
 
 
@@ -223,6 +232,8 @@ def layers(data: bytes) -> Iterator[tuple[str, bytes | None, int, int, np.ndarra
                 yield f"base64+{inner[0]}", inner[1], a + k, b, None
             else:
                 yield "base64", raw, a + k, b, None
+                if wide := _utf16(raw):
+                    yield "base64+utf16", wide, a + k, b, None
     inner = _inflated(data)
     if inner is not None:
         yield inner[0], inner[1], 0, len(data), None
@@ -251,6 +262,8 @@ def scan(data: bytes) -> list[tuple[str, str, int, int, int, bytes]]:
 
         for a, b, kind in secrets(content):
             out.setdefault((kind, *span(a, b), content[a:b]), (path, depth))
+        if path.endswith("base64") and not _plausible(content) and _inflated(content) is None:
+            continue
         for codec, new, a, b, inner in layers(content):
             at = span(a, b)
             where = f"{path}/{codec}" if path else codec

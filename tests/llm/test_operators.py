@@ -207,6 +207,12 @@ def test_secrets_in_wrapped_and_prefixed_base64():
             assert key in found_in(text), text[:80]
 
 
+def test_secrets_in_binary_and_wide_base64():
+    key = "AKIA" + "Q7" * 8
+    for body in (f"the {key} key".encode("utf-16-le"), f"the {key} key".encode("utf-16"), f"the {key} key".encode("utf-16-be"), f"clé {key} été".encode("latin-1"), b"\0\1\xff" + key.encode() + b"\0\2"):
+        assert key.encode() in found_in(base64.b64encode(body).decode()), body
+
+
 def test_urls_by_trie_and_by_join(spark):
     rules = [("a.com", "block"), ("x.a.com/p", "allow"), ("a.com/p/q", "allow"), ("x.a.com", "block")]
     urls = ["http://A.com:80/", "http://x.a.com/p/1", "https://y.a.com/p/q", "http://x.a.com/p2", "http://ba.com", "ftp://u@x.a.com./p?z"]
