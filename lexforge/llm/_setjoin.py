@@ -2,17 +2,22 @@
 
 Elements are put into one global order, rare ones first. Two sets whose
 Jaccard similarity reaches the threshold share an element of both prefixes, so
-only prefixes are shuffled, by element; length, position and suffix filters
-thin out the pairs, and each pair left is verified once on its whole sets.
+only prefixes are shuffled, by element; length, position, bitmap and suffix
+filters thin out the pairs, and each pair left is verified once on its whole
+sets.
 
 The order need only be the same everywhere to be exact. It takes the frequency
-of a word from a table of ``2**BUCKETS`` hashed counters over the whole corpus,
-whose size doesn't grow with the vocabulary, that of an n-gram from the product
-of its words' frequencies, and breaks ties by hash. Elements are 45-bit hashes, equal sets are recognised by a 64-bit signature
-and take part once, so a passage copied a million times is one set here.
-
-Prefixes travel as packed columns, one row for a task and partition rather
-than one for an element.
+of an element from a table of ``2**BUCKETS`` hashed counters over the whole
+corpus, whose size doesn't grow with the vocabulary, and breaks ties by hash.
+Elements are 45-bit hashes; equal sets are recognised by 128 bits and take part
+once, so a passage copied a million times is one set here.
+
+Near copies in a group of k have k * k / 2 pairs, each of which many elements
+would find. Where an element's sets are mostly similar, only a star is sent on,
+from one of them, the leader, to each: k rows. Sets of one leader meet in a
+cell, where all their pairs are looked at; two sets that have several leaders
+in common are counted with the least of them. So no pair is ever a row of a
+shuffle between near copies, and none is lost.
 """
 
 from __future__ import annotations
@@ -26,23 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BROADCAST_BYTES, U64, checkpointed, flat, hashes, lower, mix, partitions, pieces, spans, words
+from ._text import BROADCAST_BYTES, U64, dropped, flat, hashes, lower, mix, partitions, pieces, spans, stored
 
-BUCKETS = 18
+BUCKETS = 22
 SLICES = 64
+HASH_BITS = 45
 TOKEN_BITS = 51
 MAX_SETS = 1 << (64 - TOKEN_BITS)
 _TOKEN = U64((1 << TOKEN_BITS) - 1)
+_HASH = U64((1 << HASH_BITS) - 1)
 EPS = 1e-9
 
-#: Packed prefixes of a task are sent on when they reach so many entries.
-FLUSH = 1 << 18
+#: Packed prefixes of a task are sent on when they reach so many entries; a partition of them has about PART.
+FLUSH, PART = 1 << 20, 1 << 21
+#: Elements that occur so often by their counter have their sets spread over a grid of partitions.
+HOT = 1 << 22
 #: Bits of the bitmap of a large line.
 MAX_BITS = 4096
-#: So many candidates of a group are verified in one cell.
-CELL_PAIRS = 1 << 20
 #: Pairs that are looked at together within a partition.
-PAIRS = 1 << 19
+PAIRS = 1 << 20
+#: An element with fewer sets always gives pairs, not a star.
+STAR = 16
+#: Bytes of the sets of a cell; a group with more has as many cells as it needs, in a grid over both sides.
+CELL_BYTES = 8 << 20
+#: Cells of up to so many sets are verified together, larger ones each by itself.
+SMALL_CELL = 24
+_SIDE = 30
 
 
 @dataclass(frozen=True)
@@ -52,6 +66,7 @@ class Spec:
     lines: bool
     n: int
     threshold: float
+    hot: int = HOT
 
     @property
     def least(self) -> int:
@@ -61,14 +76,17 @@ class Spec:
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size - np.ceil(self.threshold * size - EPS).astype(np.int64) + 1
 
+    def need(self, both: np.ndarray) -> np.ndarray:
+        """Elements that two sets of so many in all must have in common."""
+        return np.ceil(self.threshold / (1 + self.threshold) * both - EPS)
+
 
-def elements(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each element, as its hash below its class of rarity (0 without classes), and the set it is in (ascending); row and line number of each set."""
+def elements(piece: pa.RecordBatch, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each element, and the set it is in (ascending); row and line number of each set."""
     raw, offsets = flat(lower(piece.column("text")))
     starts, ends = spans(raw, offsets)
     h = hashes(raw, starts, ends)
     row = np.searchsorted(offsets, starts, "right") - 1
-    rare = np.zeros(len(h), np.uint64) if classes is None else classes[(h >> U64(64 - BUCKETS)).astype(np.int64)].astype(np.uint64)
     if spec.lines:
         breaks = np.flatnonzero(raw == 10)
         before = np.searchsorted(breaks, offsets)  # line ends before each row's start
@@ -76,30 +94,44 @@ def elements(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> t
         first = np.cumsum(lines) - lines
         at = first[row] + np.searchsorted(breaks, starts) - before[row]
         of = np.repeat(np.arange(len(lines)), lines)
-        return (rare << U64(45)) | (h >> U64(19)), at, of, np.arange(len(of)) - first[of]
+        return h >> U64(64 - HASH_BITS), at, of, np.arange(len(of)) - first[of]
     begin = np.searchsorted(row, np.arange(piece.num_rows))
     count = np.bincount(row, minlength=piece.num_rows)
-    acc, mean, out, out_row = h.copy(), rare.copy(), [], []
-
-    def add(places: np.ndarray, k: int) -> None:
-        out.append(((mean[places] // U64(k)) << U64(45)) | (acc[places] >> U64(19)))
-        out_row.append(row[places])
-
+    acc, out, out_row = h.copy(), [], []
     for k in range(1, spec.n):
-        add(begin[np.flatnonzero(count == k)], k)  # a text of fewer words than n is one element
+        short = begin[np.flatnonzero(count == k)]  # a text of fewer words than n is one element
+        out.append(acc[short])
+        out_row.append(row[short])
         acc[:-k] = mix(acc[:-k] * U64(0xD6E8FEB86659FD93) + h[k:])
-        mean[:-k] += rare[k:]
     if len(h) >= spec.n:
-        add(np.flatnonzero(row[: len(row) - spec.n + 1] == row[spec.n - 1 :]), spec.n)
-    at = np.concatenate(out_row)
+        places = np.flatnonzero(row[: len(row) - spec.n + 1] == row[spec.n - 1 :])
+        out.append(acc[places])
+        out_row.append(row[places])
+    at = np.concatenate([*out_row, np.zeros(0, np.int64)])
+    every = np.concatenate([*out, np.zeros(0, np.uint64)])
     order = np.argsort(at, kind="stable")
     n = np.arange(piece.num_rows)
-    return np.concatenate(out)[order], at[order], n, np.zeros(len(n), np.int64)
+    return every[order] >> U64(64 - HASH_BITS), at[order], n, np.zeros(len(n), np.int64)
 
 
-def sets(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For some of the sets at a time: tokens in order, begin and size of each set that isn't empty, its row, line and signature."""
-    every, at, row, line = elements(piece, spec, classes)
+@dataclass(frozen=True)
+class Sets:
+    """Tokens in order, where each set begins and how many it has; its row, line and two signatures."""
+
+    token: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    row: np.ndarray
+    line: np.ndarray
+    sig: np.ndarray
+    sig2: np.ndarray
+
+
+def sets(found: tuple[np.ndarray, ...], classes: np.ndarray | None) -> Iterator[Sets]:
+    """For some of the sets of :func:`elements` at a time, those that aren't empty; a token is its hash below its class of rarity."""
+    every, at, row, line = found
+    if classes is not None:
+        every = every | (classes[(every >> U64(HASH_BITS - BUCKETS)).astype(np.int64)].astype(np.uint64) << U64(HASH_BITS))
     for low in range(0, len(row), MAX_SETS):
         i, j = np.searchsorted(at, [low, low + MAX_SETS])
         if i == j:
@@ -111,66 +143,102 @@ def sets(piece: pa.RecordBatch, spec: Spec, classes: np.ndarray | None) -> Itera
         begin = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
         size = np.diff(np.concatenate((begin, [len(which)])))
         kept = which[begin] + low
-        plain = mix(token & U64((1 << 45) - 1))
-        signature = mix(np.add.reduceat(plain, begin) + size.astype(np.uint64))
-        yield token, begin, size, row[kept], line[kept], signature.view(np.int64)
+        plain = token & _HASH
+        one = mix(np.add.reduceat(mix(plain), begin) + size.astype(np.uint64))
+        two = mix(np.add.reduceat(mix(plain ^ U64(0x5851F42D4C957F2D)), begin) ^ size.astype(np.uint64))
+        yield Sets(token, begin, size, row[kept], line[kept], one.view(np.int64), two.view(np.int64))
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Logarithmic frequency class of each hashed counter of words, counted over all documents; always ``2**BUCKETS`` bytes."""
+def scanned(docs: DataFrame, spec: Spec) -> DataFrame:
+    """Columns sig, sig2, doc_id, line, size of every set that isn't empty; and, in rows with a slice, that slice of a task's counters."""
     width = (1 << BUCKETS) // SLICES
+    schema = "sig long, sig2 long, doc_id long, line int, size int, slice int, data binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKETS, np.uint32)
+        held: list[np.ndarray] = []
+        many = 0
+
+        def count() -> None:
+            nonlocal many
+            if held:
+                # a task has far fewer than 2**32 words
+                np.add(total, np.bincount(np.concatenate(held), minlength=1 << BUCKETS).astype(np.uint32), out=total)
+                held.clear()
+                many = 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKETS, np.int64)
         for piece in pieces(batches, "text"):
-            h = words(piece.column("text"))[0]
-            total += np.bincount((h >> U64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
-        if total.any():
-            total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[k * width : (k + 1) * width].tobytes() for k in range(SLICES)], pa.binary())], ["slice", "data"])
+            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+            found = elements(piece, spec)
+            held.append((found[0] >> U64(HASH_BITS - BUCKETS)).astype(np.int32))
+            many += len(found[0])
+            if many > 1 << BUCKETS:
+                count()
+            for s in sets(found, None):
+                n = len(s.sig)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.sig), pa.array(s.sig2), pa.array(ids[s.row]), pa.array(s.line.astype(np.int32)), pa.array(s.size.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["sig", "sig2", "doc_id", "line", "size", "slice", "data"]
+                )
+        count()
+        used = [k for k in range(SLICES) if total[k * width : (k + 1) * width].any()]
+        if used:
+            n = len(used)
+            data = [_packed(total[k * width : (k + 1) * width]) for k in used]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.int32()) for _ in range(2)), pa.array(used, pa.int32()), pa.array(data, pa.binary())], ["sig", "sig2", "doc_id", "line", "size", "slice", "data"]
+            )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, data in zip(batch.column("slice").to_pylist(), batch.column("data")):
-                totals[k] = totals.get(k, 0) + np.frombuffer(data.as_buffer(), np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["slice", "data"])
+    return docs.mapInArrow(run, schema)
 
-    table = np.zeros(1 << BUCKETS, np.int64)
-    counted = docs.select("text").mapInArrow(count, "slice int, data binary")
-    for k, data in counted.repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(add, "slice int, data binary").collect():
-        table[k * width : (k + 1) * width] = np.frombuffer(data, np.int64)
-    return np.minimum(2 * np.log2(np.maximum(table, 1)), 63).astype(np.uint8)
 
+_CODEC = pa.Codec("zstd", 1)
 
-def units(docs: DataFrame, spec: Spec) -> DataFrame:
-    """Columns sig, doc_id, line of every set that isn't empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-            for _, _, _, row, line, signature in sets(piece, spec, None):
-                yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(ids[row]), pa.array(line.astype(np.int32))], ["sig", "doc_id", "line"])
+def _packed(x: np.ndarray) -> bytes:
+    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), asbytes=True)
+
 
-    return docs.mapInArrow(run, "sig long, doc_id long, line int")
+def _unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    raw = np.frombuffer(_CODEC.decompress(data, 4 * n), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view(np.uint32).ravel()
+
+
+def rarity(scan: DataFrame) -> tuple[np.ndarray, int]:
+    """Logarithmic frequency class of each hashed counter, counted over all documents, and the elements in all; always ``2**BUCKETS`` bytes."""
+    width = (1 << BUCKETS) // SLICES
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("slice").to_pylist(), batch.column("data")):
+                totals.setdefault(k, np.zeros(width, np.int64))[:] += _unpacked(data.as_buffer(), width)
+        data = [np.minimum(2 * np.log2(np.maximum(v, 1)), 63).astype(np.uint8).tobytes() for v in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(data, pa.binary()), pa.array([int(v.sum()) for v in totals.values()], pa.int64())], ["slice", "data", "total"])
+
+    table = np.zeros(1 << BUCKETS, np.uint8)
+    every = 0
+    parts = scan.where("slice is not null").select("slice", "data")
+    for k, data, total in parts.repartition(min(SLICES, partitions(scan.sparkSession)), "slice").mapInArrow(add, "slice int, data binary, total long").collect():
+        table[k * width : (k + 1) * width] = np.frombuffer(data, np.uint8)
+        every += total
+    return table, every
 
 
 def _width(size: np.ndarray, lines: bool) -> np.ndarray:
-    """64-bit words of a set's bitmap: as many bits as elements, rounded up, for lines; 1 for documents, which are too large for it to tell much."""
+    """64-bit words of a set's bitmap: 0.6 to 1.2 bits an element for lines; none for documents, whose n-grams are too rare to need it."""
     if not lines:
-        return np.ones(len(size), np.int64)
-    return (1 << np.ceil(np.log2(np.clip(size, 64, MAX_BITS))).astype(np.int64)) >> 6
+        return np.zeros(len(size), np.int64)
+    return (1 << np.ceil(np.log2(np.clip(size * 0.6, 64, MAX_BITS))).astype(np.int64)) >> 6
 
 
-def _bitmaps(token: np.ndarray, begin: np.ndarray, size: np.ndarray, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+def _bitmaps(s: Sets, lines: bool) -> tuple[np.ndarray, np.ndarray]:
     """Parity of each set's elements in the classes of its bitmap; and the bitmaps' first words (n + 1)."""
-    width = _width(size, lines)
+    width = _width(s.size, lines)
     first = np.concatenate(([0], np.cumsum(width)))
-    if not lines:
-        return np.bitwise_xor.reduceat(U64(1) << (token & U64(63)), begin), first
     out = np.zeros(first[-1], np.uint64)
-    word = np.repeat(first[:-1], size) + ((token >> U64(6)).astype(np.int64) & np.repeat(width - 1, size))
-    np.bitwise_xor.at(out, word, U64(1) << (token & U64(63)))
+    if lines:
+        word = np.repeat(first[:-1], s.size) + ((s.token >> U64(6)).astype(np.int64) & np.repeat(width - 1, s.size))
+        np.bitwise_xor.at(out, word, U64(1) << (s.token & U64(63)))
     return out, first
 
 
@@ -192,233 +260,558 @@ def _differ(bits: np.ndarray, first: np.ndarray, width: np.ndarray, left: np.nda
     return out
 
 
-def _pairs(key: np.ndarray, sig: np.ndarray, pos: np.ndarray, size: np.ndarray, bits: np.ndarray, t: float, lines: bool) -> Iterator[np.ndarray]:
-    """Rows a, b, size of a, size of b, for each key that two sets share, if they pass the filters by length, position and bitmap."""
-    width = _width(size, lines)
-    first = np.cumsum(width) - width
-    order = np.lexsort((sig, size, key))
-    key, sig, pos, size, first, width = (x[order] for x in (key, sig, pos, size, first, width))
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])))
-    key, sig, pos, size, first, width = (x[fresh] for x in (key, sig, pos, size, first, width))
-    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+@dataclass(frozen=True)
+class Entries:
+    """Prefix entries of a partition that share their element with another, by element and size: group, set, position, side, size and bitmap."""
+
+    group: np.ndarray
+    sig: np.ndarray
+    pos: np.ndarray
+    side: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    width: np.ndarray
+    bits: np.ndarray
+
+    def passing(self, left: np.ndarray, right: np.ndarray, spec: Spec) -> np.ndarray:
+        """Which pairs may be similar by length, position and bitmap; of lines, at the first element that they share."""
+        a, b = self.size[left], self.size[right]
+        p, q = self.pos[left], self.pos[right]
+        need = spec.need(a + b)
+        ok = np.minimum(a - p, b - q) + (0 if spec.lines else np.minimum(p, q)) >= need
+        ok &= (self.side[left] == 0) | (self.side[left] != self.side[right])
+        ok &= self.sig[left] != self.sig[right]
+        if spec.lines:
+            some = np.flatnonzero(ok)
+            ok[some] = _differ(self.bits, self.first, self.width, left[some], right[some]) <= (a + b - 2 * need)[some]
+        return ok
+
+
+def _stars(e: Entries, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are of elements whose sets are mostly similar, judged by some of their pairs; and the leader of each such entry.
+
+    A star costs its sets once in a cell, and the pairs a row each, for many of
+    the elements that near copies share.
+    """
+    n = len(e.group)
+    begin = np.flatnonzero(np.concatenate(([True], e.group[1:] != e.group[:-1])))
+    many = np.diff(np.concatenate((begin, [n])))
+    tried, good = np.zeros(len(begin)), np.zeros(len(begin))
+    big = np.repeat(many > STAR, many)
+    for step in (1, 2, 4, 8):
+        left = np.flatnonzero(big[: n - step] & (e.group[: n - step] == e.group[step:]))
+        if not len(left):
+            continue
+        ok = (e.size[left + step] <= np.floor(e.size[left] / spec.threshold + EPS)) & e.passing(left, left + step, spec)
+        tried += np.bincount(e.group[left], minlength=len(begin))
+        good += np.bincount(e.group[left], ok, minlength=len(begin))
+    mean = np.add.reduceat(e.size, begin) / many
+    star = (many > STAR) & (good * many > 0.075 * mean * tried) & (good > tried / 16)
+    inside = np.flatnonzero(np.repeat(star, many))
+    # the set of least mixed signature leads, so elements of the same sets have the same leader
+    rank = mix(e.sig.view(np.uint64))
+    o = np.lexsort((rank[inside], e.group[inside]))
+    lead = np.zeros(len(begin), np.int64)
+    g = e.group[inside][o]
+    top = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, np.bool_)
+    lead[g[top]] = e.sig[inside][o][top]
+    return inside, lead[e.group[inside]]
+
+
+def _pairs(e: Entries, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of the same element that pass the filters."""
+    n = len(e.group)
     # partners of i come after it in its group, and are at most size / t long
-    wide = group.astype(np.float64) * 2.0**32
-    stop = np.searchsorted(wide + size, wide + np.floor(size / t + EPS), "right")
-    many = np.maximum(stop - np.arange(len(key)) - 1, 0)
+    wide = e.group << 32
+    stop = np.searchsorted(wide + e.size, wide + np.floor(e.size / spec.threshold + EPS).astype(np.int64), "right")
+    many = np.maximum(stop - np.arange(n) - 1, 0)
     total = np.cumsum(many)
     begin = 0
-    while begin < len(key):
+    while begin < n:
         base = total[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(total, base + PAIRS, "right")))
         left = np.repeat(np.arange(begin, end), many[begin:end])
         right = left + 1 + np.arange(len(left)) - np.repeat(total[begin:end] - many[begin:end] - base, many[begin:end])
-        a, b = size[left], size[right]
-        need = np.ceil(t / (1 + t) * (a + b) - EPS)
-        ok = np.minimum(pos[left], pos[right]) + np.minimum(a - pos[left], b - pos[right]) >= need
-        left, right, room = left[ok], right[ok], (a + b - 2 * need)[ok]
-        ok = _differ(bits, first, width, left, right) <= room
-        left, right = left[ok], right[ok]
-        swap = sig[left] > sig[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
-        yield np.stack((sig[left], sig[right], size[left], size[right]), 1)
+        ok = e.passing(left, right, spec)
+        yield left[ok], right[ok]
         begin = end
 
 
-def met(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
-    """Pairs (a, b) of signatures whose prefixes share elements, with their sizes m, n and in c how many they share, in parts."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    table = spark.sparkContext.broadcast(classes)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        entries = 0
-
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in list(zip(*held))[:4]]
-            bits, at = np.concatenate([x[4] for x in held]), np.concatenate([x[5] for x in held])
-            at += np.repeat(np.cumsum([0, *(len(x[4]) for x in held[:-1])]), [len(x[5]) for x in held])
-            where = ((columns[0] * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % parts
-            order = np.argsort(where.astype(np.uint16) if parts < 1 << 16 else where, kind="stable")
-            columns = [x[order] for x in columns]
-            bounds = np.searchsorted(where[order], np.arange(parts + 1))
-            used = np.flatnonzero(np.diff(bounds))
-            width = _width(columns[3], spec.lines)
-            ends = np.concatenate(([0], np.cumsum(width)))
-            bits = bits[np.repeat(at[order] - ends[:-1], width) + np.arange(ends[-1])]
-            data = [b"".join((*(x[bounds[k] : bounds[k + 1]].tobytes() for x in columns), bits[ends[bounds[k]] : ends[bounds[k + 1]]].tobytes())) for k in used]
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.diff(bounds)[used].astype(np.int32)), pa.array(data, pa.binary())], ["part", "entries", "data"])
-
-        for piece in pieces(batches, "text"):
-            for token, begin, size, _, _, signature in sets(piece, spec, table.value):
-                good = np.flatnonzero(size >= spec.least)
-                many = spec.prefix(size[good])
-                which = np.repeat(good, many)
-                pos = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                bits, at = _bitmaps(token, begin, size, spec.lines)
-                held.append((token[begin[which] + pos], signature[which], pos.astype(np.uint32), size[which].astype(np.uint32), bits, at[:-1][which]))
-                entries += len(which)
-            if entries >= FLUSH:
-                yield flush()
-                held, entries = [], 0
-        if entries:
+MET = "a long, b long, m int, n int, c int"
+
+
+def _entries(batches: Iterator[pa.RecordBatch], spec: Spec) -> Entries | None:
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for batch in batches:
+        for heads, n, data in zip(batch.column("heads").to_pylist(), batch.column("entries").to_pylist(), batch.column("data")):
+            data, at = data.as_buffer(), 0
+            for into, (kind, m) in zip(columns, ((np.int64, heads), (np.uint32, heads), (np.uint32, heads), (np.uint32, n), (np.uint32, n))):
+                if kind is np.int64:
+                    into.append(np.frombuffer(data, kind, m, at).copy())
+                else:
+                    low, high = np.frombuffer(data, np.uint16, m, at), np.frombuffer(data, np.uint16, m, at + 2 * m)
+                    into.append(low | high.astype(np.uint32) << np.uint32(16))
+                at += m * np.dtype(kind).itemsize
+            columns[5].append(np.frombuffer(data, np.uint64, -1, at) if len(data) > at else np.zeros(0, np.uint64))
+    if not columns[0]:
+        return None
+    sig, size, many, key, pos, bits = (np.concatenate(x) for x in columns)
+    del columns
+    size = size.astype(np.int64)
+    width = _width(size, spec.lines)
+    first = np.cumsum(width) - width
+    o = np.argsort(key)
+    same = key[o][1:] == key[o][:-1]
+    shared = o[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    head = np.repeat(np.arange(len(sig)), many)[shared]
+    key, pos = key[shared], pos[shared].astype(np.int64)
+    o = np.lexsort((sig[head], size[head], key))
+    key, pos, head = key[o], pos[o], head[o]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sig[head][1:] != sig[head][:-1]) | (size[head][1:] != size[head][:-1]) | (pos[1:] >> _SIDE != pos[:-1] >> _SIDE))) if len(key) else np.zeros(0, np.bool_)
+    key, pos, head = key[fresh], pos[fresh], head[fresh]
+    if not len(key):
+        return None
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    return Entries(group, sig[head], pos & ((1 << _SIDE) - 1), pos >> _SIDE, size[head], first[head], width[head], bits)
+
+
+def joined(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`met` of a partition."""
+    e = _entries(batches, spec)
+    if e is None:
+        return
+    known, which = np.unique(e.sig, return_inverse=True)
+    inside, lead = _stars(e, spec)
+    star = np.unique(np.searchsorted(known, lead) << 32 | which[inside]) if len(inside) else np.zeros(0, np.int64)
+    for k in range(0, len(star), PAIRS):
+        x = star[k : k + PAIRS]
+        yield _rows(known[x >> 32], known[x & 0xFFFFFFFF], *(np.zeros(len(x), np.int64) for _ in range(3)))
+    rest = np.ones(len(e.group), np.bool_)
+    rest[inside] = False
+    e = Entries(*(x[rest] for x in (e.group, e.sig, e.pos, e.side, e.size, e.first, e.width)), e.bits)
+    which = which[rest]
+    if not len(which):
+        return
+    size = np.zeros(len(known), np.int64)
+    size[which] = e.size
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        o = np.argsort(key)
+        key = key[o]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return key[begin], np.add.reduceat(n[o], begin)
+
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        a, b = key >> 32, key & 0xFFFFFFFF
+        return _rows(known[a], known[b], size[a], size[b], n)
+
+    for left, right in _pairs(e, spec):
+        a, b = which[left], which[right]
+        found.append((np.minimum(a, b) << 32 | np.maximum(a, b), np.ones(len(a), np.int64)))
+        held += len(a)
+        if held > 4 * PAIRS:
+            found = [counted()]
+            held = len(found[0][0])
+            if held > 2 * PAIRS:
+                yield rows(*found.pop())
+                held = 0
+    if held:
+        yield rows(*counted())
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64 if k < 2 else np.int32)) for k, x in enumerate(columns)], ["a", "b", "m", "n", "c"])
+
+
+class _Seen:
+    """Signatures that a task has sent, as a few sorted arrays."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def fresh(self, sig: np.ndarray) -> np.ndarray:
+        """Places of the signatures that weren't there, each once."""
+        known, first = np.unique(sig, return_index=True)
+        new = np.ones(len(known), np.bool_)
+        for run in self.runs:
+            new &= run[np.minimum(np.searchsorted(run, known), len(run) - 1)] != known
+        known, first = known[new], first[new]
+        if len(known):
+            self.runs.append(known)
+            while len(self.runs) > 1 and len(self.runs[-2]) < 2 * len(self.runs[-1]):
+                self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]))]
+        return np.sort(first)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes()
+
+
+def emitted(batches: Iterator[pa.RecordBatch], spec: Spec, classes: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Prefixes of the task's distinct sets, packed by partition: for each set its signature, size, number of entries and bitmap, and each entry's key and position."""
+    seen = _Seen()
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+    hot = math.ceil(2 * math.log2(spec.hot))
+
+    def flush() -> pa.RecordBatch:
+        base = np.cumsum([0, *(len(x[3]) for x in held[:-1])])
+        token, which, pos = (np.concatenate([x[k] + b if k == 1 else x[k] for x, b in zip(held, base)]) for k in range(3))
+        sig, size, bits = (np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
+        width = _width(size, spec.lines)
+        first = np.cumsum(width) - width
+        mixed = mix(token * U64(0x9E3779B97F4A7C15) + U64(1))
+        where = ((mixed >> U64(32)) % U64(parts)).astype(np.int64)
+        order = np.argsort(where.astype(np.uint16) if parts < 1 << 16 else where, kind="stable")
+        where, which, pos, key = where[order], which[order], pos[order], mixed[order].astype(np.uint32)
+        head = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (which[1:] != which[:-1]))))
+        many = np.diff(np.concatenate((head, [len(where)])))
+        heads = np.searchsorted(where[head], np.arange(parts + 1))
+        entries = np.searchsorted(where, np.arange(parts + 1))
+        owner = which[head]
+        used = np.flatnonzero(np.diff(entries))
+        n = width[owner]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        words = bits[np.repeat(first[owner] - ends[:-1], n) + np.arange(ends[-1])]
+        data = []
+        for k in used.tolist():
+            h, e = slice(heads[k], heads[k + 1]), slice(entries[k], entries[k + 1])
+            data.append(b"".join((sig[owner[h]].tobytes(), _planes(size[owner[h]]), _planes(many[h]), _planes(key[e]), _planes(pos[e]), words[ends[heads[k]] : ends[heads[k + 1]]].tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.diff(heads)[used].astype(np.int32)), pa.array(np.diff(entries)[used].astype(np.int32)), pa.array(data, pa.binary())], ["part", "heads", "entries", "data"])
+
+    for piece in pieces(batches, "text"):
+        for s in sets(elements(piece, spec), classes):
+            good = seen.fresh(s.sig)
+            good = good[s.size[good] >= spec.least]
+            many = spec.prefix(s.size[good])
+            which = np.repeat(np.arange(len(good)), many)
+            pos = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            token = s.token[s.begin[good][which] + pos]
+            kind = (token >> U64(HASH_BITS)).astype(np.int64)
+            if len(some := np.flatnonzero(kind >= hot)):
+                grid = np.ceil(2.0 ** ((kind[some] + 1) / 2) / spec.hot).astype(np.int64)
+                keep = kind < hot
+                i = np.repeat(some, grid)
+                other = np.arange(len(i)) - np.repeat(np.cumsum(grid) - grid, grid)
+                own = (mix(s.sig[good][which[i]].view(np.uint64)) % np.repeat(grid, grid).astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                side = np.where(own == other, 0, np.where(own < other, 1, 2))
+                token = np.concatenate((token[keep], mix(token[i] * U64(3) + (low << 32 | high).astype(np.uint64) + U64(1))))
+                which, pos = np.concatenate((which[keep], which[i])), np.concatenate((pos[keep], pos[i] | side << _SIDE))
+                o = np.argsort(which, kind="stable")
+                token, which, pos = token[o], which[o], pos[o]
+            bits, first = _bitmaps(s, spec.lines)
+            n = np.diff(first)[good]
+            bits = bits[np.repeat(first[good] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            held.append((token, which, pos, s.sig[good], s.size[good], bits))
+            count += len(which)
+        if count >= FLUSH:
             yield flush()
+            held, count = [], 0
+    if count:
+        yield flush()
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-        kinds = ((np.uint64, 8), (np.int64, 8), (np.uint32, 4), (np.uint32, 4))
-        for batch in batches:
-            for n, data in zip(batch.column("entries").to_pylist(), batch.column("data")):
-                data, at = data.as_buffer().to_pybytes(), 0
-                for into, (kind, width) in zip(columns, kinds):
-                    into.append(np.frombuffer(data, kind, n, at))
-                    at += n * width
-                columns[4].append(np.frombuffer(data, np.uint64, -1, at))
-        if not columns[0]:
-            return
-        key, sig, pos, size, bits = (np.concatenate(x) for x in columns)
-        del columns
-        found: list[np.ndarray] = []
-        held = 0
-        for rows in _pairs(key, sig, pos.astype(np.int64), size.astype(np.int64), bits, spec.threshold, spec.lines):
-            found.append(np.concatenate((rows, np.ones((len(rows), 1), np.int64)), 1))
-            held += len(rows)
-            if held > 2 * PAIRS:
-                found = [_counted(np.concatenate(found))]
-                held = len(found[0])
-                if held > PAIRS:
-                    yield _rows(found.pop())
-                    held = 0
-        if held:
-            yield _rows(_counted(np.concatenate(found)))
 
-    packed = docs.select("text").mapInArrow(emit, "part int, entries int, data binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(join, "a long, b long, m int, n int, c int")
+def met(docs: DataFrame, spec: Spec, classes: np.ndarray, every: int) -> DataFrame:
+    """Rows of :data:`MET`: pairs (a, b) of signatures whose prefixes share elements, with their sizes m, n and in c how many they share, in parts; and, with m = 0, stars from a to b."""
+    spark = docs.sparkSession
+    parts = max(partitions(spark), math.ceil(every * (1 - spec.threshold) / PART))
+    table = spark.sparkContext.broadcast(classes)
+    packed = docs.select("text").mapInArrow(lambda x: emitted(x, spec, table.value, parts), "part int, heads int, entries int, data binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(lambda x: joined(x, spec), MET)
 
 
-def candidates(docs: DataFrame, spec: Spec, classes: np.ndarray) -> DataFrame:
-    """Distinct pairs (a, b) of signatures that may be similar.
+def members(found: DataFrame, spec: Spec) -> DataFrame:
+    """Distinct rows leader, sig: sets that meet in a cell.
 
-    The elements that both prefixes share are counted. What two sets have in
-    common beyond their prefixes is in the suffix of one of them, so too small
-    a count rules a pair out.
+    The elements that both prefixes share are counted for pairs of documents.
+    What two sets have in common beyond their prefixes is in the suffix of one
+    of them, so too small a count rules a pair out; a pair that is counted in
+    part only, since a star has the rest, meets in the star's cell. A pair left
+    meets with the least partner of its smaller side, so a group of near copies
+    meets in one cell.
     """
     t = spec.threshold
-    suffix = F.greatest(F.ceil(t * F.col("m") - EPS), F.ceil(t * F.col("n") - EPS)) - 1
-    return met(docs, spec, classes).groupBy("a", "b").agg(F.max("m").alias("m"), F.max("n").alias("n"), F.sum("c").alias("c")).where(F.col("c") + suffix >= F.ceil(t / (1 + t) * (F.col("m") + F.col("n")) - EPS)).select("a", "b")
-
-
-def _counted(rows: np.ndarray) -> np.ndarray:
-    """One row for each pair, with the sum of the last column."""
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    begin = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
-    out = rows[begin]
-    out[:, 4] = np.add.reduceat(rows[:, 4], begin)
-    return out
-
-
-def _rows(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), *(pa.array(rows[:, k].astype(np.int32)) for k in (2, 3, 4))], ["a", "b", "m", "n", "c"])
-
-
-def overlaps(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, t: float, limit: int = 1 << 20) -> np.ndarray:
-    """Common tokens of sets a[i] and b[i]; -1 where the suffix filter shows that they don't suffice.
-
-    The filter splits the tokens into 16 ranges of hashes; no more can be
-    common in a range than the smaller side has there.
-    """
-    owner = np.repeat(np.arange(len(size)), size)
-    table = np.zeros((len(size), 16), np.int32)
-    np.add.at(table, (owner, (tokens & U64(15)).astype(np.int64)), 1)
-    need = np.ceil(t / (1 + t) * (size[a] + size[b]) - EPS)
-    out = np.full(len(a), -1, np.int64)
-    step = 1 << 16
-    possible = np.concatenate([np.minimum(table[a[i : i + step]], table[b[i : i + step]]).sum(1) for i in range(0, len(a), step)] or [np.zeros(0, np.int64)])
-    alive = np.flatnonzero(possible >= need)
-    cost = np.cumsum(size[a[alive]] + size[b[alive]])
+    pairs = found.where("m > 0").groupBy("a", "b").agg(F.max("m").alias("m"), F.max("n").alias("n"), F.sum("c").alias("c"))
+    if not spec.lines:
+        suffix = F.greatest(F.ceil(t * F.col("m") - EPS), F.ceil(t * F.col("n") - EPS)) - 1
+        pairs = pairs.where(F.col("c") + suffix >= F.ceil(t / (1 + t) * (F.col("m") + F.col("n")) - EPS))
+    pairs = pairs.select("a", "b")
+    owner = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("sig")).agg(F.least(F.min("b"), F.col("sig")).alias("leader"))
+    owned = pairs.join(owner.withColumnRenamed("sig", "a"), "a").select(F.explode(F.array("a", "b")).alias("sig"), "leader")
+    return found.where("m = 0").select(F.col("b").alias("sig"), F.col("a").alias("leader")).union(owned.select("sig", "leader")).distinct()
+
+
+def common(a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """How many tokens the sets a[i] and b[i] have in common."""
+    out = np.zeros(len(a), np.int64)
+    cost = np.cumsum(size[a] + size[b])
     start = 0
-    while start < len(alive):
+    while start < len(a):
         base = cost[start - 1] if start else 0
-        stop = min(max(start + 1, int(np.searchsorted(cost, base + limit, "right"))), start + MAX_SETS, len(alive))
-        some = alive[start:stop]
-        side = np.concatenate((a[some], b[some]))
+        stop = min(max(start + 1, int(np.searchsorted(cost, base + limit, "right"))), start + MAX_SETS, len(a))
+        side = np.concatenate((a[start:stop], b[start:stop]))
         n = size[side]
         at = np.repeat(begin[side] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pair = np.repeat(np.tile(np.arange(len(some)), 2), n).astype(np.uint64)
-        both = np.sort((pair << U64(TOKEN_BITS)) | tokens[at])
+        pair = np.repeat(np.tile(np.arange(stop - start), 2), n).astype(np.uint64)
+        both = np.sort((pair << U64(TOKEN_BITS)) | (tokens[at] & _TOKEN))
         same = both[1:][both[1:] == both[:-1]]
-        out[some] = np.bincount((same >> U64(TOKEN_BITS)).astype(np.int64), minlength=len(some))
+        out[start:stop] = np.bincount((same >> U64(TOKEN_BITS)).astype(np.int64), minlength=stop - start)
         start = stop
     return out
 
 
-def verify(docs: DataFrame, spec: Spec, pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, with ``jaccard``.
+def possible(a: np.ndarray, b: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The suffix filter: no more can be common in each of 16 ranges of hashes than the smaller side has there."""
+    table = np.zeros((len(size), 16), np.int32)
+    np.add.at(table, (np.repeat(np.arange(len(size)), size), (tokens & U64(15)).astype(np.int64)), 1)
+    step = 1 << 16
+    return np.concatenate([np.minimum(table[a[i : i + step]], table[b[i : i + step]]).sum(1) for i in range(0, len(a), step)] or [np.zeros(0, np.int64)])
+
+
+def _cell(begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, side: np.ndarray, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Similar pairs of a large cell, whose sets are in order of their size, and what they have in common, by bit sets over its repeated tokens."""
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    _, number, many = np.unique(tokens[at], return_inverse=True, return_counts=True)
+    if not (many > 1).any():
+        return
+    place = np.cumsum(many > 1) - 1
+    keep = (many > 1)[number]
+    owner, number = np.repeat(np.arange(len(size)), size)[keep], place[number[keep]]
+    bits = np.zeros((len(size), (int(place[-1]) >> 6) + 1), np.uint64)
+    np.bitwise_or.at(bits, (owner, number >> 6), U64(1) << (number & 63).astype(np.uint64))
+    left, right, both = [], [], []
+    held = 0
+    stop = np.searchsorted(size, np.floor(size / spec.threshold + EPS), "right")
+    step = max(1, (1 << 20) // bits.shape[1])
+    for i in range(len(size)):
+        for low in range(i + 1, int(stop[i]), step):
+            high = min(int(stop[i]), low + step)
+            n = np.bitwise_count(bits[low:high] & bits[i]).sum(1, dtype=np.int64)
+            ok = n / (size[low:high] + size[i] - n) >= spec.threshold
+            if side[i]:
+                ok &= side[low:high] != side[i]
+            j = np.flatnonzero(ok)
+            if len(j):
+                left.append(np.full(len(j), i))
+                right.append(j + low)
+                both.append(n[j])
+                held += len(j)
+        if held > PAIRS:
+            yield np.concatenate(left), np.concatenate(right), np.concatenate(both)
+            left, right, both, held = [], [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right), np.concatenate(both)
+
+
+LINKS = "sig long, sig2 long, links long, match_doc long, match_line int, jaccard double, root_doc long"
+
+
+def checked(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """Rows of :data:`LINKS` of a partition's cells, for each set and cell in which it has similar ones."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+    tokens_of: list[np.ndarray] = []
+    leaders_of: list[np.ndarray] = []
+    for batch in batches:
+        for n, data in zip(batch.column("sets").to_pylist(), batch.column("data")):
+            data, at = data.as_buffer(), 0
+            for into in columns:
+                into.append(np.frombuffer(data, np.int64, n, at))
+                at += 8 * n
+            leaders = int(columns[6][-1].sum())
+            leaders_of.append(np.frombuffer(data, np.int64, leaders, at))
+            raw = np.frombuffer(data, np.uint8, -1, at + 8 * leaders).reshape(-1, 6)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :6] = raw
+            tokens_of.append(wide.view(np.uint64).ravel())
+    if not columns[0]:
+        return
+    cell, leader, sig, sig2, doc, line, many, size, side = (np.concatenate(x) for x in columns)
+    tokens, leaders = np.concatenate(tokens_of), np.concatenate(leaders_of).view(np.uint64)
+    del columns, tokens_of, leaders_of
+    begin, first = np.cumsum(size) - size, np.cumsum(many) - many
+    o = np.lexsort((sig2, sig, size, leader, cell))
+    new = np.ones(len(o), np.bool_)
+    new[1:] = (cell[o][1:] != cell[o][:-1]) | (leader[o][1:] != leader[o][:-1]) | (sig[o][1:] != sig[o][:-1]) | (sig2[o][1:] != sig2[o][:-1])
+    o = o[new]
+    cell, leader, sig, sig2, doc, line, many, size, side, begin, first = (x[o] for x in (cell, leader, sig, sig2, doc, line, many, size, side, begin, first))
+    edge = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (leader[1:] != leader[:-1]))))
+    width = np.diff(np.concatenate((edge, [len(cell)])))
+
+    def result(left: np.ndarray, right: np.ndarray, both: np.ndarray) -> pa.RecordBatch | None:
+        # a pair that has an earlier leader in common is counted there
+        again = np.flatnonzero((many[left] > 1) & (many[right] > 1))
+        if len(again):
+            a, b = left[again], right[again]
+            used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            n = many[used]
+            at = np.repeat(first[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            earlier = leaders[at].view(np.int64) < np.repeat(leader[used], n)
+            owner = np.repeat(np.arange(len(used)), n)[earlier]
+            _, numbered = np.unique(leaders[at][earlier], return_inverse=True)
+            n = np.bincount(owner, minlength=len(used))
+            twice = common(place[: len(a)], place[len(a) :], np.cumsum(n) - n, n, numbered.astype(np.uint64)) > 0
+            keep = np.ones(len(left), np.bool_)
+            keep[again[twice]] = False
+            left, right, both = left[keep], right[keep], both[keep]
+        if not spec.lines:
+            other = doc[left] != doc[right]  # rows that share an id are one document
+            left, right, both = left[other], right[other], both[other]
+        if not len(left):
+            return None
+        jaccard = both / (size[left] + size[right] - both)
+        own, other, value = np.concatenate((left, right)), np.concatenate((right, left)), np.tile(jaccard, 2)
+        o = np.lexsort((line[other], doc[other], own))
+        own, other, value = own[o], other[o], value[o]
+        at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        n = np.diff(np.concatenate((at, [len(own)])))
+        own, other, value = own[at], other[at], value[at]
+        # components by the least position
+        rank = np.empty(len(own), np.int64)
+        rank[np.lexsort((line[own], doc[own]))] = np.arange(len(own))
+        by_rank = own[np.argsort(rank)]
+        label = rank.copy()
+        a, b = np.searchsorted(own, left), np.searchsorted(own, right)
+        owner = np.argsort(rank)
+        while True:
+            before = label.copy()
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = np.minimum(label, label[owner[label]])
+            if (label == before).all():
+                break
+        columns = (sig[own], sig2[own], n, doc[other], line[other].astype(np.int32), value, doc[by_rank[label]])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "sig2", "links", "match_doc", "match_line", "jaccard", "root_doc"])
+
+    small = width <= SMALL_CELL
+    left, right = [], []
+    held = 0
+    for k in [*np.unique(width[small]).tolist(), 0]:
+        some = edge[small & (width == k)] if k > 1 else np.zeros(0, np.int64)
+        if len(some):
+            i, j = np.triu_indices(k, 1)
+            left.append((some[:, None] + i).ravel())
+            right.append((some[:, None] + j).ravel())
+            held += len(left[-1])
+        if held and (held > PAIRS or k == 0):
+            a, b = np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+            need = spec.need(size[a] + size[b])
+            ok = (np.minimum(size[a], size[b]) >= need) & ((side[a] == 0) | (side[a] != side[b]))
+            a, b, need = a[ok], b[ok], need[ok]
+            used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            x, y = place[: len(a)], place[len(a) :]
+            n = size[used]
+            at = np.repeat(begin[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ok = possible(x, y, n, tokens[at]) >= need
+            a, b, x, y = a[ok], b[ok], x[ok], y[ok]
+            both = common(x, y, np.cumsum(n) - n, n, tokens[at])
+            ok = both / (size[a] + size[b] - both) >= spec.threshold
+            if (rows := result(a[ok], b[ok], both[ok])) is not None:
+                yield rows
+    for k in np.flatnonzero(~small).tolist():
+        s = slice(edge[k], edge[k] + width[k])
+        for a, b, both in _cell(begin[s], size[s], tokens, side[s], spec):
+            if (rows := result(a + edge[k], b + edge[k], both)) is not None:
+                yield rows
+
+
+def sent(batches: Iterator[pa.RecordBatch], spec: Spec, parts: int) -> Iterator[pa.RecordBatch]:
+    """The sets asked for in ``wanted``, packed by the partition of their cells."""
+    held: list[list] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        by: dict[int, list] = {}
+        for x in held:
+            by.setdefault(x[0] % parts, []).append(x)
+        data = []
+        for rows in by.values():
+            head = np.array([[*x[:6], len(x[8]), x[6], x[7]] for x in rows], np.int64).T
+            leaders = np.concatenate([x[8] for x in rows])
+            tokens = np.concatenate([x[9] for x in rows])
+            data.append(head.tobytes() + leaders.tobytes() + np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([len(x) for x in by.values()], pa.int32()), pa.array(data, pa.binary())], ["part", "sets", "data"])
+
+    for piece in pieces(batches, "text"):
+        asked = [{(w["sig"], w["sig2"]): w for w in x} for x in piece.column("wanted").to_pylist()]
+        done: set[tuple[int, int, int]] = set()
+        for s in sets(elements(piece, spec), None):
+            for k, (r, a, b) in enumerate(zip(s.row.tolist(), s.sig.tolist(), s.sig2.tolist())):
+                w = asked[r].get((a, b))
+                if w is None or (r, a, b) in done:
+                    continue
+                done.add((r, a, b))
+                tokens = s.token[s.begin[k] : s.begin[k] + s.size[k]]
+                leaders = np.array([c["leader"] for c in w["cells"]], np.int64)
+                for c in w["cells"]:
+                    grid = c["grid"]
+                    own = int(mix(np.array([a], np.int64).view(np.uint64))[0] % U64(grid)) if grid > 1 else 0
+                    for other in range(grid):
+                        cell = int(mix(np.array([(c["leader"] ^ (min(own, other) << 32 | max(own, other))) & (2**64 - 1)], np.uint64))[0] >> U64(1))
+                        held.append([cell, c["leader"], a, b, w["doc_id"], w["line"], len(tokens), 0 if own == other else 1 if own < other else 2, leaders, tokens])
+                        size += 8 * len(tokens) + 100
+        if size > 32 << 20:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def verified(docs: DataFrame, spec: Spec, meeting: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows of :data:`LINKS` of the sets that meet.
 
-    ``first`` has sig, doc_id, line of each distinct set. The sets of the
-    candidates are read again from their documents and meet in cells. A pair
-    belongs to the least partner of its smaller side, so a group of near copies
-    meets in one cell, and each of its sets is sent once; a group of many pairs
-    has as many cells as they need, in a grid over both sides.
+    ``first`` has sig, sig2, doc_id, line and size of each distinct set. The
+    sets are read again from their documents and sent to the cells of their
+    leaders.
     """
     spark = docs.sparkSession
-    cells = 4 * partitions(spark)
-    t = spec.threshold
-    owner = pairs.select(F.col("a").alias("sig"), F.col("b").alias("other")).union(pairs.select("b", "a")).groupBy("sig").agg(F.least(F.min("other"), F.col("sig")).alias("owner"))
-    owned = pairs.join(owner.withColumnRenamed("sig", "a"), "a")
-    # only owners of more than CELL_PAIRS pairs, so one row for as many pairs at most: small enough to broadcast
-    wide = owned.groupBy("owner").agg(F.count("*").alias("many")).where(F.col("many") > CELL_PAIRS).select("owner", F.ceil(F.sqrt(F.col("many") / F.lit(CELL_PAIRS))).alias("_wide"))
-    owned = owned.join(F.broadcast(wide), "owner", "left").withColumn("wide", F.coalesce("_wide", F.lit(1).cast("long")))
-    cell = F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("a"), "wide"), F.pmod(F.xxhash64("b"), "wide")), F.lit(cells)).cast("int")
-    pairs = checkpointed(owned.select("a", "b", cell.alias("cell")))
-    sent = pairs.select(F.explode(F.array("a", "b")).alias("sig"), "cell").groupBy("sig").agg(F.collect_set("cell").alias("cells"))
-    wanted = sent.join(first, "sig").groupBy("doc_id").agg(F.collect_list(F.struct("sig", "line", "cells")).alias("wanted"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "text"):
-            asked = [{w["sig"]: w["cells"] for w in x} for x in piece.column("wanted").to_pylist()]
-            out: list[tuple[int, int, bytes]] = []
-            done: set[tuple[int, int]] = set()
-            for token, begin, size, row, _, signature in sets(piece, spec, None):
-                for k, (r, s) in enumerate(zip(row.tolist(), signature.tolist())):
-                    cells = asked[r].get(s)
-                    if cells is not None and (r, s) not in done:
-                        done.add((r, s))
-                        data = token[begin[k] : begin[k] + size[k]].tobytes()
-                        out.extend((c, s, data) for c in cells)
-            if out:
-                c, s, d = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(s, pa.int64()), pa.array(d, pa.binary())], ["cell", "sig", "data"])
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        sig = right.column("sig").to_numpy()
-        raw, offsets = flat(right.column("data").combine_chunks() if right.num_rows else pa.array([], pa.binary()))
-        sig, pick = np.unique(sig, return_index=True)
-        tokens = np.ascontiguousarray(raw).view(np.uint64)
-        begin, size = offsets[pick] // 8, np.diff(offsets)[pick] // 8
-        # only the sets asked for, in their new order
-        tokens = tokens[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        begin = np.cumsum(size) - size
-        x, y = left.column("a").to_numpy(), left.column("b").to_numpy()
-        a, b = np.searchsorted(sig, x), np.searchsorted(sig, y)
-        common = overlaps(a, b, begin, size, tokens, t)
-        union = size[a] + size[b] - common
-        jaccard = common / union
-        ok = (common >= 0) & (jaccard >= t)
-        return pa.table({"a": x[ok], "b": y[ok], "jaccard": jaccard[ok]})
-
-    wanted = checkpointed(wanted)
-    sizes = wanted.agg(F.count("*"), F.sum(F.expr("aggregate(wanted, 0L, (n, w) -> n + 40 + 4 * size(w.cells))"))).first()
-    if 64 * sizes[0] + (sizes[1] or 0) <= BROADCAST_BYTES:
+    known = meeting.join(first.select("sig", "sig2", "doc_id", "line", "size"), "sig")
+    # only leaders of more than CELL_BYTES, so one row for as many bytes at most: small enough to broadcast
+    total = known.groupBy("leader").agg(F.sum(F.lit(6) * F.col("size").cast("long")).alias("bytes"))
+    wide = total.where(F.col("bytes") > CELL_BYTES).select("leader", F.ceil(F.col("bytes") / F.lit(CELL_BYTES)).cast("int").alias("_grid"))
+    cells = known.join(F.broadcast(wide), "leader", "left").groupBy("sig", "sig2", "doc_id", "line", "size").agg(F.collect_list(F.struct("leader", F.coalesce("_grid", F.lit(1)).alias("grid"))).alias("cells"))
+    wanted = stored(cells.groupBy("doc_id").agg(F.collect_list(F.struct("sig", "sig2", "doc_id", "line", "cells")).alias("wanted"), F.sum(F.expr("aggregate(cells, 0L, (n, c) -> n + c.grid * (100L + 6L * size))")).alias("bytes"), F.sum(F.size("cells")).alias("many")))
+    rows, moved, many = wanted.agg(F.count("*"), F.sum("bytes"), F.sum("many")).first()
+    parts = max(partitions(spark), math.ceil((moved or 0) / (8 * CELL_BYTES)))
+    wanted = wanted.select("doc_id", "wanted")
+    if 120 * rows + 60 * (many or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    read_again = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(read, "cell int, sig long, data binary")
-    return pairs.groupBy("cell").cogroup(read_again.groupBy("cell")).applyInArrow(check, "a long, b long, jaccard double")
+    again = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda x: sent(x, spec, parts), "part int, sets int, data binary")
+    return again.repartitionById(parts, F.col("part")).mapInArrow(lambda x: checked(x, spec), LINKS)
+
+
+@dataclass(frozen=True)
+class Similar:
+    """Stored tables: all sets (sig, sig2, doc_id, line, size), and for each set and cell in which it has similar ones a row of :data:`LINKS`."""
+
+    units: DataFrame
+    links: DataFrame
+
+    def classes(self) -> DataFrame:
+        """Of the sets that are equal: sig, sig2, the least position at, size and copies."""
+        return self.units.groupBy("sig", "sig2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max("size").alias("size"), F.count("*").alias("copies"))
+
+    def best(self) -> DataFrame:
+        """Of each set that has similar ones: sig, sig2, links (how many), and match, the least position of those with its jaccard."""
+        match = F.struct(F.struct(F.col("match_doc").alias("doc_id"), F.col("match_line").alias("line")).alias("at"), "jaccard")
+        return self.links.groupBy("sig", "sig2").agg(F.sum("links").alias("links"), F.min(match).alias("match"))
 
 
-def similar(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All sets (sig, doc_id, line), the first one of each signature, and the verified pairs (a, b, jaccard) of signatures."""
+def similar(docs: DataFrame, spec: Spec) -> Similar:
+    """All sets of the documents and the links between those that are similar but not equal."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    all_units = checkpointed(units(docs, spec))
-    first = all_units.groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("sig", "at.doc_id", "at.line")
-    pairs = checkpointed(candidates(docs, spec, rarity(docs)))
-    return all_units, first, verify(docs, spec, pairs, first)
+    scan = stored(scanned(docs, spec))
+    classes, every = rarity(scan)
+    units = scan.where("slice is null").select("sig", "sig2", "doc_id", "line", "size")
+    found = stored(met(docs, spec, classes, every))
+    meeting = stored(members(found, spec))
+    dropped(found)
+    first = Similar(units, units).classes().select("sig", "sig2", "at.doc_id", "at.line", "size")
+    links = stored(verified(docs, spec, meeting, first))
+    dropped(meeting)
+    return Similar(units, links)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +84,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lower(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(column)
+    """In lower case; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        data = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        return pc.utf8_lower(pa.array([None if x is None else x.decode("utf-8", "replace") for x in data.to_pylist()], column.type))
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +145,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again; that cuts the lineage, too."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of :func:`stored` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

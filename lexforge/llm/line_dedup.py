@@ -25,18 +25,15 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a ``doc_id`` are one document, whose equal lines of equal number are one
     line. An empty table gives an empty result; other columns are ignored.
     """
-    units, first, pairs = similar(docs, Spec(True, 1, threshold))
-    first = first.select("sig", F.struct("doc_id", "line").alias("at"))
-    both = pairs.select(F.col("a").alias("sig"), F.col("b").alias("other"), "jaccard").unionByName(pairs.select(F.col("b").alias("sig"), F.col("a").alias("other"), "jaccard"))
-    near = both.join(first.withColumnRenamed("sig", "other"), "other").select("sig", F.struct("at", "jaccard").alias("m"))
-    # the least position wins; a signature is its own match with similarity 1
-    best = near.unionByName(first.select("sig", F.struct("at", F.lit(1.0).alias("jaccard")).alias("m"))).groupBy("sig").agg(F.min("m").alias("m"))
-    return (
-        units.distinct()
-        .join(best, "sig")
-        .where(F.col("m.at") < F.struct("doc_id", "line"))
-        .select("doc_id", "line", F.col("m.at.doc_id").alias("match_doc_id"), F.col("m.at.line").alias("match_line"), F.col("m.jaccard").alias("jaccard"))
-    )
+    found = similar(docs, Spec(True, 1, threshold))
+    here = F.struct("doc_id", "line")
+    # the least position wins; a set is its own match with similarity 1
+    own = F.struct("at", F.lit(1.0).alias("jaccard"))
+    classes = found.classes().where("copies > 1").select("sig", "sig2", own.alias("m"))
+    best = classes.unionByName(found.best().select("sig", "sig2", F.col("match").alias("m"))).groupBy("sig", "sig2").agg(F.min("m").alias("m"))
+    lines = found.units.select("sig", "sig2", "doc_id", "line").join(best, ["sig", "sig2"]).where(F.col("m.at") < here)
+    lines = lines.select("doc_id", "line", F.col("m.at.doc_id").alias("match_doc_id"), F.col("m.at.line").alias("match_line"), F.col("m.jaccard").alias("jaccard"))
+    return lines.distinct()
 
 
 def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -46,8 +43,12 @@ def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     dropped. Rows with a null ``doc_id`` or ``text`` stay as they are.
     """
     key, lost = fresh(docs, "__id"), fresh(docs, "__gone")
-    gone = repeated.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(lost))
-    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    # a bit a line, 64 in a word, so that each line of a document is looked up in constant time
+    bits = repeated.groupBy(F.col("doc_id").alias(key), F.expr("line div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, line % 64))").alias("bits"))
+    gone = bits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"), F.max("word").alias("top"))
+    gone = gone.select(key, F.expr("transform(sequence(0L, top), w -> coalesce(bits[w], 0L))").alias(lost))
+    is_gone = lambda i: F.getbit(F.get(F.col(lost), F.floor(i / 64).cast("int")), i % 64) == 1
+    text = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(is_gone(i), F.lit(False))), "\n")
     columns = [c for c in docs.columns]
     out = docs.join(gone, F.col("doc_id") == F.col(key), "left").withColumn("text", F.when(F.col(lost).isNull() | F.col("text").isNull(), F.col("text")).otherwise(text))
     out = out.where(F.col(lost).isNull() | F.col("text").isNull() | F.col("text").rlike(r"\S"))

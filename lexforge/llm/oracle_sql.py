@@ -43,7 +43,9 @@ WITH worded AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE
 units AS (
   SELECT doc_id, doc_id AS pos, list_sort(list_distinct(
     CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) END)) AS sig FROM worded),
-{_SIMILAR.format(t=threshold)}
-SELECT doc_id_a, doc_id_b, max(jaccard) AS jaccard FROM (
-  SELECT least(p, q) AS doc_id_a, greatest(p, q) AS doc_id_b, jaccard FROM verified
-  UNION ALL SELECT rep.pos, units.doc_id, 1.0 FROM units JOIN rep USING (sig) WHERE units.doc_id <> rep.pos) GROUP BY ALL"""
+{_SIMILAR.format(t=threshold)},
+sides AS (SELECT p, q, jaccard FROM verified UNION ALL SELECT q, p, jaccard FROM verified),
+best AS (SELECT p, count(*) AS links, min({{'at': q, 'jaccard': jaccard}}) AS m FROM sides GROUP BY p),
+class AS (SELECT sig, min(pos) AS class_id, count(*) AS copies FROM units GROUP BY sig)
+SELECT doc_id, class_id, copies, coalesce(links, 0)::BIGINT AS links, m.at AS match_doc_id, coalesce(m.jaccard, 1.0) AS jaccard
+FROM units JOIN class USING (sig) LEFT JOIN best ON p = class_id WHERE copies > 1 OR links IS NOT NULL"""

@@ -24,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": lambda spark, d: bpe.encode(_table(spark, d, "documents")),
         "op8_url_filter": lambda spark, d: url_filter.filtered(_table(spark, d, "pages")),
         "op9_html_template": lambda spark, d: html_template.extracted(_table(spark, d, "pages")),
-        "op10_ngram_join": lambda spark, d: ngram_join.near_pairs(_table(spark, d, "documents")),
+        "op10_ngram_join": lambda spark, d: ngram_join.near_duplicates(_table(spark, d, "documents")),
     }
 
 
