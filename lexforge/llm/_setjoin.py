@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._text import BROADCAST_BYTES, U64, dropped, flat, hashes, lower, mix, partitions, pieces, spans, stored
 
-BUCKETS = 22
+BUCKETS = 24
 SLICES = 64
 HASH_BITS = 45
 TOKEN_BITS = 51
@@ -46,6 +46,8 @@ EPS = 1e-9
 FLUSH, PART = 1 << 20, 1 << 21
 #: Elements that occur so often by their counter have their sets spread over a grid of partitions.
 HOT = 1 << 22
+#: Elements that the prefixes of two documents must share, where both are long enough.
+SHARED = 8
 #: Bits of the bitmap of a large line.
 MAX_BITS = 4096
 #: Pairs that are looked at together within a partition.
@@ -76,6 +78,10 @@ class Spec:
     def prefix(self, size: np.ndarray) -> np.ndarray:
         return size - np.ceil(self.threshold * size - EPS).astype(np.int64) + 1
 
+    def shared(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """How many elements that are followed by so many that ``need`` can still be reached two similar sets share at least, up to ``SHARED``."""
+        return np.clip(need - np.ceil(self.threshold * np.maximum(a, b) - EPS) + 1, 1, 1 if self.lines else SHARED)
+
     def need(self, both: np.ndarray) -> np.ndarray:
         """Elements that two sets of so many in all must have in common."""
         return np.ceil(self.threshold / (1 + self.threshold) * both - EPS)
@@ -155,31 +161,16 @@ def scanned(docs: DataFrame, spec: Spec) -> DataFrame:
     schema = "sig long, sig2 long, doc_id long, line int, size int, slice int, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKETS, np.uint32)
-        held: list[np.ndarray] = []
-        many = 0
-
-        def count() -> None:
-            nonlocal many
-            if held:
-                # a task has far fewer than 2**32 words
-                np.add(total, np.bincount(np.concatenate(held), minlength=1 << BUCKETS).astype(np.uint32), out=total)
-                held.clear()
-                many = 0
-
+        total = np.zeros(1 << BUCKETS, np.uint32)  # a task has far fewer than 2**32 words
         for piece in pieces(batches, "text"):
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
             found = elements(piece, spec)
-            held.append((found[0] >> U64(HASH_BITS - BUCKETS)).astype(np.int32))
-            many += len(found[0])
-            if many > 1 << BUCKETS:
-                count()
+            np.add.at(total, (found[0] >> U64(HASH_BITS - BUCKETS)).astype(np.int64), np.uint32(1))
             for s in sets(found, None):
                 n = len(s.sig)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.sig), pa.array(s.sig2), pa.array(ids[s.row]), pa.array(s.line.astype(np.int32)), pa.array(s.size.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["sig", "sig2", "doc_id", "line", "size", "slice", "data"]
                 )
-        count()
         used = [k for k in range(SLICES) if total[k * width : (k + 1) * width].any()]
         if used:
             n = len(used)
@@ -274,11 +265,17 @@ class Entries:
     bits: np.ndarray
 
     def passing(self, left: np.ndarray, right: np.ndarray, spec: Spec) -> np.ndarray:
-        """Which pairs may be similar by length, position and bitmap; of lines, at the first element that they share."""
+        """Which pairs may be similar by length, position and bitmap.
+
+        Of the elements that two similar sets have in common, the k-th from
+        the end is followed by k - 1 more in both. So as many as
+        :meth:`Spec.shared` says lie before the last ``need``, in both
+        prefixes; only those count.
+        """
         a, b = self.size[left], self.size[right]
         p, q = self.pos[left], self.pos[right]
         need = spec.need(a + b)
-        ok = np.minimum(a - p, b - q) + (0 if spec.lines else np.minimum(p, q)) >= need
+        ok = np.minimum(a - p, b - q) > need - spec.shared(a, b, need)
         ok &= (self.side[left] == 0) | (self.side[left] != self.side[right])
         ok &= self.sig[left] != self.sig[right]
         if spec.lines:
@@ -527,18 +524,17 @@ def met(docs: DataFrame, spec: Spec, classes: np.ndarray, every: int) -> DataFra
 def members(found: DataFrame, spec: Spec) -> DataFrame:
     """Distinct rows leader, sig: sets that meet in a cell.
 
-    The elements that both prefixes share are counted for pairs of documents.
-    What two sets have in common beyond their prefixes is in the suffix of one
-    of them, so too small a count rules a pair out; a pair that is counted in
-    part only, since a star has the rest, meets in the star's cell. A pair left
+    The elements of :meth:`Spec.shared` are counted for each pair; too few rule
+    it out. A pair that is counted in part only, since a star has the rest,
+    meets in the star's cell. A pair left
     meets with the least partner of its smaller side, so a group of near copies
     meets in one cell.
     """
     t = spec.threshold
     pairs = found.where("m > 0").groupBy("a", "b").agg(F.max("m").alias("m"), F.max("n").alias("n"), F.sum("c").alias("c"))
     if not spec.lines:
-        suffix = F.greatest(F.ceil(t * F.col("m") - EPS), F.ceil(t * F.col("n") - EPS)) - 1
-        pairs = pairs.where(F.col("c") + suffix >= F.ceil(t / (1 + t) * (F.col("m") + F.col("n")) - EPS))
+        need = F.ceil(t / (1 + t) * (F.col("m") + F.col("n")) - EPS)
+        pairs = pairs.where(F.col("c") >= F.least(need - F.ceil(t * F.greatest("m", "n") - EPS) + 1, F.lit(SHARED)))
     pairs = pairs.select("a", "b")
     owner = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias("sig")).agg(F.least(F.min("b"), F.col("sig")).alias("leader"))
     owned = pairs.join(owner.withColumnRenamed("sig", "a"), "a").select(F.explode(F.array("a", "b")).alias("sig"), "leader")
