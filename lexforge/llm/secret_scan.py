@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
+import itertools
 import lzma
 import re
 import zlib
@@ -38,8 +38,8 @@ RULES: tuple[tuple[str, bytes, bool, int, re.Pattern[bytes]], ...] = tuple(
 )
 #: Shorter runs aren't taken for base64.
 BASE64_RUN = 20
-#: A layer that would decompress to more than so many bytes is reported as ``oversize_layer`` and not opened: a guard against bombs.
-LAYER_BYTES = 64 << 20
+#: A layer that decompresses to more bytes is taken in windows of so many, each with the last OVERLAP bytes of the one before it.
+LAYER_BYTES, OVERLAP = 16 << 20, 4 << 20
 
 _B64 = np.zeros(256, np.bool_)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_":
@@ -68,14 +68,16 @@ def secrets(data: bytes) -> list[tuple[int, int, str]]:
         where = folded if fold else data
         at = where.find(anchor)
         while at >= 0:
-            m = pattern.match(data, at) if not before else next((m for m in pattern.finditer(data, max(0, at - before), at + 256) if m.start() <= at < m.end()), None)
+            m = next((m for k in range(max(0, at - before), at + 1) if (m := pattern.match(data, k)) and m.end() > at), None)
             if m:
                 out.setdefault(m.span(), kind)
             at = where.find(anchor, at + 1)
     found: list[tuple[int, int, str]] = []
+    ends: dict[str, int] = {}
     for (a, b), kind in sorted(out.items(), key=lambda x: (x[0][0], -x[0][1])):
-        if not any(k == kind and b <= e for _, e, k in found[-4:]):  # access_token=... is one secret, not also token=...
+        if b > ends.get(kind, -1):  # access_token=... is one secret, not also token=...
             found.append((a, b, kind))
+            ends[kind] = b
     return found
 
 
@@ -111,29 +113,62 @@ def _join_surrogates(data: bytes, places: np.ndarray) -> tuple[bytes, np.ndarray
     return joined, places if len(joined) == len(data) else np.concatenate((np.interp(np.arange(len(joined)) * len(data) / max(1, len(joined)), np.arange(len(data) + 1), places).astype(np.int64), places[-1:]))
 
 
-def _inflated(data: bytes) -> tuple[str, bytes | None] | None:
-    """Codec and content of a compressed layer; None for the content if it is too large, None if it isn't one."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return "gzip", _limited(zlib.decompressobj(31), data)
-        if len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
-            return "zlib", _limited(zlib.decompressobj(), data)
-        if data[:3] == b"BZh":
-            return "bzip2", _limited(bz2.BZ2Decompressor(), data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return "xz", _limited(lzma.LZMADecompressor(), data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(LAYER_BYTES + 1)
-            return "zstd", None if len(out) > LAYER_BYTES else out
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, gzip.BadGzipFile, zstandard.ZstdError):
+def _inflated(data: bytes) -> tuple[str, Iterator[bytes]] | None:
+    """Codec and content of a compressed layer, in windows; None if it isn't one."""
+    if data[:2] == b"\x1f\x8b":
+        codec, parts = "gzip", _deflated(zlib.decompressobj(31), data)
+    elif len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0:
+        codec, parts = "zlib", _deflated(zlib.decompressobj(), data)
+    elif data[:3] == b"BZh":
+        codec, parts = "bzip2", _streamed(bz2.BZ2Decompressor(), data)
+    elif data[:6] == b"\xfd7zXZ\x00":
+        codec, parts = "xz", _streamed(lzma.LZMADecompressor(), data)
+    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        codec, parts = "zstd", _zstandard(data)
+    else:
         return None
-    return None
+    windows = _windows(parts)
+    first = next(windows, None)
+    return None if first is None else (codec, itertools.chain((first,), windows))
+
+
+def _deflated(machine, data: bytes) -> Iterator[bytes]:
+    while data and not machine.eof:
+        yield machine.decompress(data, 1 << 20)
+        data = machine.unconsumed_tail
+
+
+def _streamed(machine, data: bytes) -> Iterator[bytes]:
+    while not machine.eof:
+        part = machine.decompress(data, 1 << 20)
+        data = b""
+        yield part
+        if not part and machine.needs_input:
+            return
+
 
+def _zstandard(data: bytes) -> Iterator[bytes]:
+    with zstandard.ZstdDecompressor().stream_reader(data) as reader:
+        while part := reader.read(1 << 20):
+            yield part
 
-def _limited(machine, data: bytes) -> bytes | None:
-    out = machine.decompress(data, LAYER_BYTES + 1)
-    return None if len(out) > LAYER_BYTES else out
+
+def _windows(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The parts in windows; what comes before damage is given, unless it is nothing."""
+    held = bytearray()
+    fresh = False
+    try:
+        for part in parts:
+            held += part
+            fresh = fresh or bool(part)
+            if len(held) >= LAYER_BYTES:
+                yield bytes(held)
+                del held[: len(held) - OVERLAP]
+                fresh = False
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+        pass
+    if fresh:
+        yield bytes(held)
 
 
 def _plausible(data: bytes) -> bool:
@@ -215,7 +250,7 @@ def _words(data: bytes, one: re.Pattern[bytes]) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def layers(data: bytes) -> Iterator[tuple[str, bytes | None, int, int, np.ndarray | None]]:
+def layers(data: bytes) -> Iterator[tuple[str, bytes, int, int, np.ndarray | None]]:
     """What is encoded in a layer: codec, content, the span in the layer, and for escapes where each byte comes from."""
     if b"%" in data:
         for a, b in _words(data, _PERCENT_ONE):
@@ -229,14 +264,16 @@ def layers(data: bytes) -> Iterator[tuple[str, bytes | None, int, int, np.ndarra
         for k, raw in _opened(run):
             inner = _inflated(raw)
             if inner is not None:
-                yield f"base64+{inner[0]}", inner[1], a + k, b, None
+                for part in inner[1]:
+                    yield f"base64+{inner[0]}", part, a + k, b, None
             else:
                 yield "base64", raw, a + k, b, None
                 if wide := _utf16(raw):
                     yield "base64+utf16", wide, a + k, b, None
     inner = _inflated(data)
     if inner is not None:
-        yield inner[0], inner[1], 0, len(data), None
+        for part in inner[1]:
+            yield inner[0], part, 0, len(data), None
 
 
 def scan(data: bytes) -> list[tuple[str, str, int, int, int, bytes]]:
@@ -267,9 +304,6 @@ def scan(data: bytes) -> list[tuple[str, str, int, int, int, bytes]]:
         for codec, new, a, b, inner in layers(content):
             at = span(a, b)
             where = f"{path}/{codec}" if path else codec
-            if new is None:
-                out.setdefault(("oversize_layer", *at, b""), (where, depth + 1))
-                continue
             if (new, *at) in seen or new == content:
                 continue
             seen.add((new, *at))
