@@ -15,7 +15,7 @@ from ._text import U64, pieces, words
 
 #: A verbatim match of so many words is a leak.
 MIN_WORDS = 13
-#: A shorter item leaks if the whole of it is found; one of fewer words than this says nothing and is passed over.
+#: A shorter item leaks if the whole of it is found; one of fewer words than this only into a document that has nothing else.
 SHORTEST = 5
 #: Bytes of text in a suffix array; a longer document has one by itself.
 SHARD_BYTES = 8 << 20
@@ -36,7 +36,7 @@ class Items:
         """Item number, start and least match of every suffix that is long enough to match."""
         size = np.diff(self.begin)
         need = np.minimum(self.min_words, size)
-        many = np.where(size >= min(SHORTEST, self.min_words), size - need + 1, 0)
+        many = np.where(size > 0, size - need + 1, 0)
         item = np.repeat(np.arange(len(size)), many)
         at = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + self.begin[:-1][item]
         return item, at, need[item]
@@ -147,6 +147,11 @@ def shard_matches(items: Items, doc_words: list[tuple[np.ndarray, np.ndarray]])
         live = live[(x < len(text)) & (text[np.minimum(x, len(text) - 1)] == test[np.minimum(at[live] + size[live], len(test) - 1)])]
         size[live] += 1
     doc, start = doc_of[found], at - items.begin[item]
+    words_of = items.begin[item + 1] - items.begin[item]
+    ok = (words_of >= min(SHORTEST, items.min_words)) | (lengths[doc] == words_of)
+    doc, item, size, start, found = (x[ok] for x in (doc, item, size, start, found))
+    if not len(doc):
+        return none
     spot = found - doc_start[doc]
     o = np.lexsort((spot, start, -size, item, doc))
     doc, item, size, start, spot = (x[o] for x in (doc, item, size, start, spot))
@@ -187,8 +192,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) ->
     the item, then in the document, is given.
 
     An item leaks through ``min_words`` words in a row, or as a whole if it is
-    shorter; items of fewer than ``SHORTEST`` words, empty and null texts leak
-    nowhere. A null id is reported as null; repeated rows are reported each;
+    shorter; one of fewer than ``SHORTEST`` words, which would be found by
+    chance, only into documents that have no other words. Empty and null texts
+    leak nowhere. A null id is reported as null; repeated rows are reported each;
     items that repeat an id and text count once. Empty tables give an empty
     result; other columns are ignored.
     """
@@ -235,11 +241,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
 def leak_sql(min_words: int = MIN_WORDS) -> str:
     words_of = r"regexp_extract_all(lower(text), '[^\x00-/:-@\[-^`{-\x7f]+')"
     return f"""
-WITH item AS (SELECT item_id, w, least({min_words}, len(w)) AS m FROM (SELECT item_id, {words_of} AS w FROM benchmark) WHERE len(w) >= {min(SHORTEST, min_words)}),
+WITH item AS (SELECT item_id, w, least({min_words}, len(w)) AS m FROM (SELECT item_id, {words_of} AS w FROM benchmark) WHERE len(w) > 0),
 item_gram AS (SELECT item_id, m, unnest(range(len(w) - m + 1)) AS i, w FROM item),
 item_key AS (SELECT item_id, m, i, array_to_string(w[i + 1:i + m], ' ') AS k FROM item_gram),
 doc AS (SELECT doc_id, {words_of} AS w FROM documents),
-doc_gram AS (SELECT doc_id, m, w, unnest(range(len(w) - m + 1)) AS d FROM doc, (SELECT DISTINCT m FROM item) WHERE len(w) >= m),
+doc_gram AS (SELECT doc_id, m, w, unnest(range(len(w) - m + 1)) AS d FROM doc, (SELECT DISTINCT m FROM item) WHERE len(w) = m OR len(w) > m AND m >= {min(SHORTEST, min_words)}),
 doc_key AS (SELECT doc_id, m, d, array_to_string(w[d + 1:d + m], ' ') AS k FROM doc_gram),
 hit AS (SELECT doc_id, item_id, m, i, d FROM doc_key JOIN item_key USING (m, k)),
 island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, d - i ORDER BY i) AS g FROM hit),
