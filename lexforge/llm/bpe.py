@@ -159,12 +159,19 @@ def merge_long(v: Vocabulary, symbols: np.ndarray) -> np.ndarray:
 
 
 def pretokens(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the pre-tokens begin, in bytes: contractions, runs of letters, of numbers or of other signs with one blank before them, and white space."""
-    point = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    """Where the pre-tokens begin, in bytes: contractions, runs of letters, of numbers or of other signs with one blank before them, and white space.
+
+    A byte that is no UTF-8 is a sign of its own.
+    """
+    if len(offsets) > 2 and ((raw[offsets[:-1][offsets[:-1] < len(raw)]] & 0xC0) == 0x80).any():
+        # a row begins within a character, so it can't be told from the end of the one before it
+        return np.concatenate([a + pretokens(raw[a:b], np.array([0, b - a])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+    point = np.frombuffer(raw.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(point):
         return np.zeros(0, np.int64)
     kind = classes()[point]
-    place = np.cumsum(1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000), dtype=np.int64)
+    wrong = (point >= 0xDC80) & (point <= 0xDCFF)
+    place = np.cumsum(np.where(wrong, 1, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)), dtype=np.int64)
     place = np.concatenate(([0], place))  # bytes before each code point
     row = np.zeros(len(point) + 1, np.bool_)
     row[np.searchsorted(place, offsets)] = True  # a row begins, or the last has ended
@@ -265,7 +272,8 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     Returns doc_id, tokens (array of int), n_tokens, n_bytes (of the text in
     UTF-8) and exact: whether the decoded ids are the text, byte for byte.
 
-    An empty text has no tokens; a null text has null tokens, n_tokens, n_bytes
+    Bytes that are no UTF-8 are encoded like any others, so ``exact`` holds for
+    them, too. An empty text has no tokens; a null text has null tokens, n_tokens, n_bytes
     and exact; a null ``doc_id`` is kept; repeated rows are encoded each; texts
     are encoded whole. An empty table gives an empty result; other columns are
     ignored.
