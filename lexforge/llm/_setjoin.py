@@ -69,6 +69,10 @@ class Spec:
     n: int
     threshold: float
     hot: int = HOT
+    star: int = STAR
+    small_cell: int = SMALL_CELL
+    flush: int = FLUSH
+    pairs: int = PAIRS
 
     @property
     def least(self) -> int:
@@ -294,8 +298,10 @@ def _stars(e: Entries, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.concatenate(([True], e.group[1:] != e.group[:-1])))
     many = np.diff(np.concatenate((begin, [n])))
     tried, good = np.zeros(len(begin)), np.zeros(len(begin))
-    big = np.repeat(many > STAR, many)
+    big = np.repeat(many > spec.star, many)
     for step in (1, 2, 4, 8):
+        if step >= n:
+            break
         left = np.flatnonzero(big[: n - step] & (e.group[: n - step] == e.group[step:]))
         if not len(left):
             continue
@@ -303,7 +309,7 @@ def _stars(e: Entries, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
         tried += np.bincount(e.group[left], minlength=len(begin))
         good += np.bincount(e.group[left], ok, minlength=len(begin))
     mean = np.add.reduceat(e.size, begin) / many
-    star = (many > STAR) & (good * many > 0.075 * mean * tried) & (good > tried / 16)
+    star = (many > spec.star) & (good * many > 0.075 * mean * tried) & (good > tried / 16)
     inside = np.flatnonzero(np.repeat(star, many))
     # the set of least mixed signature leads, so elements of the same sets have the same leader
     rank = mix(e.sig.view(np.uint64))
@@ -326,7 +332,7 @@ def _pairs(e: Entries, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     begin = 0
     while begin < n:
         base = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, base + PAIRS, "right")))
+        end = max(begin + 1, int(np.searchsorted(total, base + spec.pairs, "right")))
         left = np.repeat(np.arange(begin, end), many[begin:end])
         right = left + 1 + np.arange(len(left)) - np.repeat(total[begin:end] - many[begin:end] - base, many[begin:end])
         ok = e.passing(left, right, spec)
@@ -380,8 +386,8 @@ def joined(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
     known, which = np.unique(e.sig, return_inverse=True)
     inside, lead = _stars(e, spec)
     star = np.unique(np.searchsorted(known, lead) << 32 | which[inside]) if len(inside) else np.zeros(0, np.int64)
-    for k in range(0, len(star), PAIRS):
-        x = star[k : k + PAIRS]
+    for k in range(0, len(star), spec.pairs):
+        x = star[k : k + spec.pairs]
         yield _rows(known[x >> 32], known[x & 0xFFFFFFFF], *(np.zeros(len(x), np.int64) for _ in range(3)))
     rest = np.ones(len(e.group), np.bool_)
     rest[inside] = False
@@ -409,10 +415,10 @@ def joined(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordB
         a, b = which[left], which[right]
         found.append((np.minimum(a, b) << 32 | np.maximum(a, b), np.ones(len(a), np.int64)))
         held += len(a)
-        if held > 4 * PAIRS:
+        if held > 4 * spec.pairs:
             found = [counted()]
             held = len(found[0][0])
-            if held > 2 * PAIRS:
+            if held > 2 * spec.pairs:
                 yield rows(*found.pop())
                 held = 0
     if held:
@@ -505,7 +511,7 @@ def emitted(batches: Iterator[pa.RecordBatch], spec: Spec, classes: np.ndarray,
             bits = bits[np.repeat(first[good] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             held.append((token, which, pos, s.sig[good], s.size[good], bits))
             count += len(which)
-        if count >= FLUSH:
+        if count >= spec.flush:
             yield flush()
             held, count = [], 0
     if count:
@@ -596,7 +602,7 @@ def _cell(begin: np.ndarray, size: np.ndarray, tokens: np.ndarray, side: np.ndar
                 right.append(j + low)
                 both.append(n[j])
                 held += len(j)
-        if held > PAIRS:
+        if held > spec.pairs:
             yield np.concatenate(left), np.concatenate(right), np.concatenate(both)
             left, right, both, held = [], [], [], 0
     if held:
@@ -683,7 +689,7 @@ def checked(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Record
         columns = (sig[own], sig2[own], n, doc[other], line[other].astype(np.int32), value, doc[by_rank[label]])
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "sig2", "links", "match_doc", "match_line", "jaccard", "root_doc"])
 
-    small = width <= SMALL_CELL
+    small = width <= spec.small_cell
     left, right = [], []
     held = 0
     for k in [*np.unique(width[small]).tolist(), 0]:
@@ -693,7 +699,7 @@ def checked(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Record
             left.append((some[:, None] + i).ravel())
             right.append((some[:, None] + j).ravel())
             held += len(left[-1])
-        if held and (held > PAIRS or k == 0):
+        if held and (held > spec.pairs or k == 0):
             a, b = np.concatenate(left), np.concatenate(right)
             left, right, held = [], [], 0
             need = spec.need(size[a] + size[b])
