@@ -1,15 +1,22 @@
 """Every operator against brute force, and on nulls, empty and long texts, ties, empty tables and clashing columns."""
 
 import base64
+import bz2
+import functools
 import gzip
 import itertools
+import lzma
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
+from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, decontam, html_template, line_dedup, ngram_join, quality, secret_scan, sharding, toxicity, url_filter
+from lexforge.llm import _setjoin, bpe, decontam, html_template, line_dedup, ngram_join, quality, secret_scan, sharding, toxicity, url_filter
 from lexforge.llm import queries as llm
 from lexforge.llm._text import WORD, word_hash
 
@@ -36,7 +43,7 @@ def test_edge_cases(spark):
         n = table.count()
         line_dedup.repeated_lines(table).collect()
         assert line_dedup.dedup_lines(table).columns == table.columns
-        ngram_join.near_pairs(table).collect()
+        assert {r.doc_id for r in ngram_join.near_duplicates(table).collect()} == ({6, 7} if n == len(ODD) else set())
         assert ngram_join.one_of_each(table).columns == table.columns
         assert sharding.sharded(table).count() == n
         assert secret_scan.found(table).count() == 0
@@ -67,11 +74,7 @@ def test_sets_against_brute_force(spark):
             texts.append("\n".join(" ".join(t[k : k + 10]) for k in range(0, 30, 10)))
     df = docs(spark, texts)
     jac = lambda a, b: len(a & b) / len(a | b)
-    grams = [set(zip(w, w[1:])) for w in map(words, texts)]
-    near = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jac(grams[a], grams[b]) >= 0.6}
-    got = {(r.doc_id_a, r.doc_id_b) for r in ngram_join.near_pairs(df).collect()}
-    firsts = {g: i for i, g in reversed(list(enumerate(map(frozenset, grams))))}
-    assert got == {(a, b) for a, b in near if firsts[frozenset(grams[a])] == a and (firsts[frozenset(grams[b])] in (a, b))}
+    assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == near_by_force(texts)
     lines = [((i, k), set(words(x))) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
     want = {}
     for n, (at, s) in enumerate(lines):
@@ -81,8 +84,91 @@ def test_sets_against_brute_force(spark):
     assert {(r.doc_id, r.line): (r.match_doc_id, r.match_line) for r in line_dedup.repeated_lines(df).collect()} == want
 
 
+def near_by_force(texts, t=0.6):
+    """doc_id, class_id, copies, links, match_doc_id, jaccard of all texts with a copy or a near duplicate."""
+    grams = [frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w) for w in map(words, texts)]
+    first = {g: i for i, g in reversed(list(enumerate(grams)))}
+    alike = {g: sorted((first[o], len(g & o) / len(g | o)) for o in first if o != g and len(g & o) >= t * len(g | o)) for g in first if g}
+    return {(i, first[g], grams.count(g), len(alike[g]), *(alike[g][0] if alike[g] else (None, 1.0))) for i, g in enumerate(grams) if g and (grams.count(g) > 1 or alike[g])}
+
+
+def clusters():
+    """Near copies in groups of many sizes, exact copies among them, a passage that all of another group share, and a line that all texts have."""
+    rng = np.random.default_rng(9)
+    plain = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    texts = []
+    for many in (2, 3, 9, 30, 70):
+        base = plain(60)
+        for _ in range(many):
+            t = list(base)
+            for k in rng.integers(0, 60, rng.integers(0, 9)):
+                t[k] = f"w{rng.integers(0, 4000)}"
+            texts.append(" ".join(t) + "\nthis line is in all of the texts here")
+    passage = " ".join(plain(50))
+    texts += [" ".join(plain(70)) + "\n" + passage for _ in range(40)] + texts[:20]
+    return texts
+
+
+@pytest.mark.parametrize("change", [{}, {"star": 1 << 30, "CELL_BYTES": 2000}, {"star": 1, "small_cell": 3, "CELL_BYTES": 2000, "hot": 8}, {"flush": 50, "pairs": 100, "PART": 500, "BROADCAST_BYTES": 0}])
+def test_clusters_against_brute_force(spark, monkeypatch, change):
+    for name, value in change.items():
+        if name.isupper():
+            monkeypatch.setattr(_setjoin, name, value)
+    monkeypatch.setattr(ngram_join, "Spec", functools.partial(_setjoin.Spec, **{k: v for k, v in change.items() if k.islower()}))
+    texts = clusters()
+    got = [tuple(r) for r in ngram_join.near_duplicates(docs(spark, texts)).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_by_force(texts)
+
+
+def test_one_of_each_against_brute_force(spark):
+    texts = clusters()
+    above = list(range(len(texts)))
+
+    def root(x):
+        return x if above[x] == x else root(above[x])
+
+    grams = [frozenset(zip(w, w[1:])) for w in map(words, texts)]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b]):
+            x, y = sorted((root(a), root(b)))
+            above[y] = x
+    assert {r.doc_id for r in ngram_join.one_of_each(docs(spark, texts)).collect()} == {x for x in range(len(texts)) if root(x) == x}
+
+
+def test_a_line_of_all_texts_is_sent_once_a_task(spark):
+    texts = ["one two three four five six"] * 5000 + ["one two three four five six seven"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    spec = _setjoin.Spec(True, 1, 0.8)
+    sent = list(_setjoin.emitted(iter([batch]), spec, np.zeros(1 << _setjoin.BUCKETS, np.uint8), 4))
+    assert sum(sum(b.column("entries").to_pylist()) for b in sent) == 4
+    got = {r.doc_id: (r.match_doc_id, r.jaccard) for r in line_dedup.repeated_lines(docs(spark, texts)).collect()}
+    assert got == {**{k: (0, 1.0) for k in range(1, 5000)}, 5000: (0, 6 / 7)}
+
+
+def test_lines_go_in_long_texts(spark):
+    lines = [f"line number {k} of a long text with word{k} and more{k}" for k in range(300)]
+    texts = ["\n".join(lines[:5] + lines[100:200]), "\n".join(["an own line", *lines, "", "the last line"]), None, ""]
+    left = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert left[0].text == texts[0] and left[2].text is None and left[3].text == ""
+    assert left[1].text.split("\n") == ["an own line", *lines[5:100], *lines[200:], "", "the last line"] and left[1].n_chars == len(left[1].text)
+
+
+def test_bytes_that_are_no_utf8(spark):
+    df = docs(spark, ["same text here now and more words"] * 2 + ["x", "y"]).withColumn("text", F.expr("case when doc_id = 2 then cast(unhex('61C328FF20C3') as string) when doc_id = 3 then cast(unhex('A9FF20') as string) else text end"))
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "here now")], "item_id long, text string")
+    assert [r.doc_id for r in line_dedup.repeated_lines(df).collect()] == [1]
+    assert {r.doc_id for r in ngram_join.near_duplicates(df).collect()} == {0, 1}
+    assert sharding.sharded(df).count() == 4 and secret_scan.found(df).count() == 0
+    assert quality.kept(df, quality.fit(df, labels)).count() <= 4 and decontam.leaks(df, bench).count() == 0
+    assert toxicity.harmless(df, toxicity.fit(df, labels)).count() == 4
+    encoded = bpe.encode(df)
+    assert all(r.exact for r in encoded.collect())
+    assert {r.doc_id: r.text for r in bpe.decode(encoded).collect()}[2] == "a\ufffd(\ufffd \ufffd"
+
+
 def test_components(spark):
-    pairs = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)] + [(50, 60, 1.0)], "doc_id_a long, doc_id_b long, jaccard double")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60)], "u long, v long")
     assert {r.doc_id: r.first for r in ngram_join.groups(pairs).collect()} == {**{i: 0 for i in range(1, 21)}, 60: 50}
 
 
@@ -100,6 +186,12 @@ def test_suffix_matches_against_brute_force(spark):
     assert got == want and (2, 6) in got
 
 
+def test_short_items_leak_only_as_whole_texts(spark):
+    bench = spark.createDataFrame([(1, "Yes!"), (2, "of the"), (3, "five words are long enough")], "item_id long, text string")
+    texts = ["yes", "yes of the day", "of, the", "these five words are long enough here", "of the of the"]
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, texts), bench).collect()} == {(0, 1), (2, 2), (3, 3)}
+
+
 def test_segments_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -177,6 +269,11 @@ def test_sharding_keeps_groups_and_balance(spark):
         assert shard.setdefault(r.group_id, r.shard) == r.shard
         size[r.shard] += r.n_bytes
     assert max(size) - min(size) < 0.05 * max(size)
+    df = spark.read.parquet(f"{D}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert {r.doc_id: r.shard for r in sharding.sharded(df, 4, 50).collect()} == {r.doc_id: r.shard for r in rows}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     part = [x[0] for x in sharding.difference([(8,), (7,), (6,), (5,), (4,)], 2)]
     assert abs(sum(n * (1 - 2 * p) for n, p in zip((8, 7, 6, 5, 4), part))) == 2
 
@@ -191,6 +288,28 @@ def test_secrets_in_layers(spark):
     assert texts[3].encode()[got[3].start : got[3].end].decode() == hidden
 
 
+def test_sharding_in_several_levels(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", 3)
+    rng = np.random.default_rng(4)
+    texts = ["x" * int(n) + str(k % 90) for k, n in enumerate(rng.integers(1, 900, 120))] + ["same"] * 5
+    rows = sharding.sharded(docs(spark, texts), 3, 5).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(125)) and len({r.shard for r in rows if texts[r.doc_id] == "same"}) == 1
+    size = [sum(r.n_bytes for r in rows if r.shard == k) for k in range(3)]
+    assert max(size) - min(size) < 0.05 * max(size)
+
+
+def test_long_secrets_and_large_layers(monkeypatch):
+    key = b"sk_live_" + b"a1B2" * 100
+    assert [x[3:] for x in secret_scan.scan(b"see " + key + b" end")] == [(4, 4 + len(key), key)]
+    monkeypatch.setattr(secret_scan, "LAYER_BYTES", 4096)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1024)
+    aws = b"AKIA" + b"Q7" * 8
+    for at in (100, 4090, 9000, 50_000):
+        body = b"." * at + b" " + aws + b" " + b"-" * 20_000
+        for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+            assert aws in found_in(base64.b64encode(pack(body)).decode()), (at, pack)
+
+
 def found_in(text):
     data = text if isinstance(text, bytes) else text.encode()
     rows = secret_scan.suspects(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
