@@ -357,6 +357,7 @@ def without_extra_breaks(node: Node) -> Node:
 _ESCAPED = re.compile(r"([\[\]#~^@])")
 _DSL_TAGS = {"bold": "b", "italic": "i", "underline": "u", "weblink": "url", "superscript": "sup", "subscript": "sub"}
 TRIMMED = " \t,;!?-."
+_RULER = "-" * 10
 
 
 def _dsl(node: Node) -> str:
@@ -382,7 +383,14 @@ def _dsl(node: Node) -> str:
     if kind == "image":
         return f"[s]{a.get('secondary') or a['name']}[/s]"
     if kind == "sound":
-        return ", ".join(f"[s]{_dsl(c)}[/s]" for c in node.children) + " "
+        names = a.get("names") or [""] * len(node.children)
+        return ", ".join(f"[s]{n}[/s]{_dsl(c)}" if n else f"[s]{_dsl(c)}[/s]" for n, c in zip(names, node.children)) + " "
+    if kind == "web_reference":
+        return f"[url]{a['link']}[/url]" if inner in ("", a["link"]) else f"{inner} ([url]{a['link']}[/url])"
+    if kind == "table_reference":
+        return f"\n{_RULER}\n{inner}\n{_dsl(a['content'])}{_RULER}\n" if "content" in a else inner
+    if kind == "picture_reference":
+        return f"\n{_RULER}\n{_dsl(a['header'])}\n{_dsl(a['description'])}\n[s]{a['image']}[/s]\n{a['copyright']}\n{_RULER}\n" if "header" in a else inner
     if kind == "table":
         return f"\n[s]{a['rendered']}[/s]" if a.get("rendered") else ""
     if kind in ("placeholder", "tab", "id", "table_tag"):
@@ -421,27 +429,154 @@ def html(node: Node) -> str:
     return "" if node.kind in ("placeholder", "tab", "id", "table_tag", "soft_break") else inner
 
 
+_TITLES = {
+    "text": "TextRun", "plain": "PlainRun", "bold": "BoldFormattingRun", "italic": "ItalicFormattingRun", "underline": "UnderlineFormattingRun", "weblink": "WebLinkFormattingRun", "color": "ColorFormattingRun",
+    "addendum": "AddendumFormattingRun", "alignment": "AlignmentFormattingRun", "superscript": "SuperscriptFormattingRun", "subscript": "SubscriptFormattingRun", "article_reference": "ArticleReferenceRun", "id": "IdRun",
+    "tab": "TabRun", "placeholder": "ReferencePlaceholderRun", "break": "LineBreakRun", "soft_break": "SoftLineBreakRun", "table": "TableRun", "table_tag": "TableTag", "cell": "TableCellRun", "table_reference": "TableReferenceRun",
+    "picture_reference": "PictureReferenceRun", "web_reference": "WebReferenceRun", "image": "InlineImageRun", "sound": "InlineSoundRun", "sticky": "StickyRun",
+}
+_TAG_NUMBERS = {t: k for k, t in enumerate("- tcn tln tau tcd tfl tcl tcr tld tfu tlt tcc ter tcm ted".split())}
+
+
+def _title(node: Node) -> str:
+    """What :func:`outline` says of a node: its title and attributes."""
+    a, kind = node.attrs, node.kind
+    title = _TITLES.get(kind, kind)
+    if kind == "plain":
+        return f"{title}: {node.text}"
+    if kind == "color":
+        return f"{title}; rgb={a['rgb']:06x}; name={a['name']}; tilde={int(a['tilde'])}"
+    if kind in ("id", "tab"):
+        return f"{title}: {a['id' if kind == 'id' else 'column']}"
+    if kind == "placeholder":
+        return f"{title}; code={a['code']}; num={a['num']}; num2={a['num2']}" + ("; range={}-{}".format(*a["range"]) if "range" in a else "")
+    if kind == "table_tag":
+        return f"{title} {_TAG_NUMBERS.get(a['tag'], a['tag'])}; from={a['first']}; to={a['last']}"
+    if kind == "table":
+        return title + (f" {a['rendered']}" if a.get("rendered") else "")
+    shown = {
+        "article_reference": (("offset", "offset"),), "table_reference": (("offset", "offset"), ("file", "file")), "picture_reference": (("offset", "offset"), ("file", "file"), ("cr", "copyright"), ("image", "image")),
+        "web_reference": (("link", "link"),), "image": (("name", "name"), ("secondary", "secondary")), "sticky": (("num", "num"),),
+    }.get(kind, ())
+    if kind == "sound":
+        return f"{title}; name=[" + ", ".join(f"({n})" for n in a.get("names", ())) + "]"
+    return title + "".join(f"; {label}={a.get(key, '')}" for label, key in shown)
+
+
 def outline(node: Node, depth: int = 0) -> str:
     """A line for each node, indented by depth."""
-    shown = {k: v for k, v in node.attrs.items() if k != "grid"}
-    own = "  " * depth + node.kind + (f": {node.text}" if node.kind == "plain" else "") + "".join(f"; {k}={v}" for k, v in shown.items())
-    return own + "\n" + "".join(outline(c, depth + 1) for c in node.children)
+    return "  " * depth + _title(node) + "\n" + "".join(outline(c, depth + 1) for c in node.children)
+
+
+@dataclass(frozen=True)
+class Known:
+    """What a dictionary's descriptor tells of references: (type, name, code) of each, ranges (file, first, last), and the files on disk by their name in lower case."""
+
+    references: tuple[tuple[str, str, str], ...] = (("WEB", "Web", "W"),)
+    ranges: tuple[tuple[str, int, int], ...] = ()
+    files: dict[str, str] = field(default_factory=dict)
+
+    def spelled(self, name: str) -> str:
+        return self.files.get(name.lower(), name)
+
+
+def _sound_file(name: str) -> str:
+    return name[:-4] + ".wav" if name.lower().endswith(".adp") else name
 
 
-def resolve(node: Node, ranges: list[tuple[str, int, int]], heading_of: Callable[[int, str], str], secondary: dict[str, str] | None = None) -> Node:
-    """The tree with placeholders resolved: images by name, articles by offset, sounds by their file; what can't be resolved vanishes."""
-    out = []
+def _resolved(node: Node, known: Known) -> Node:
+    """What a placeholder stands for; the placeholder itself where that can't be told."""
+    a, caption = node.attrs, node.children[0] if node.children else Node("text")
+    code, last = a["code"], node.children[-1] if node.children else Node("text")
+    if not code:
+        return Node("article_reference", attrs={"offset": a["num"]}, children=[caption]) if caption.children and a["num"] != -1 else node
+    kind, code = code[0], code[1:]
+    if kind == "I":
+        more = node.children[1:3]
+        sound = len(more) == 2 and all(x.kind == "plain" for x in more) and more[0].text == "T"
+        return Node("image", attrs={"name": known.spelled(code), "secondary": known.spelled(_sound_file(more[1].text)) if sound else ""})
+    name = next((n for _, n, c in known.references if c == code), None)
+    if name is None or kind != "M":
+        return node
+    if name == "Web":
+        return Node("web_reference", attrs={"link": last.text}, children=[caption]) if last.kind == "plain" else node
+    if name in ("Tabellen", "Bilder") and a["num"]:
+        file, offset = in_range(known.ranges, a["num"])
+        table = name == "Tabellen"
+        return Node("table_reference" if table else "picture_reference", attrs={"offset": offset, "file": file}, children=[caption if table else last])
+    return node
+
+
+def _named_sounds(node: Node) -> Node:
+    """A sound with its files' names, and what follows each name as its label."""
+    if "names" in node.attrs:
+        return node
+    names, children = [], []
     for child in node.children:
-        child = resolve(child, ranges, heading_of, secondary)
-        if child.kind == "placeholder":
-            a, caption = child.attrs, child.children[:1]
-            if a["code"] == "I":
-                name = "".join(c.text for c in caption[0].children) if caption else ""
-                child = Node("image", attrs={"name": name, "secondary": (secondary or {}).get(name.lower(), "")})
-            elif a["num"] > 0 and caption and caption[0].children:
-                child = Node("article_reference", attrs={"offset": a["num"] - 1, "heading": heading_of(a["num"] - 1, _dsl(caption[0]).strip(TRIMMED))}, children=caption)
-        out.append(child)
-    return Node(node.kind, node.text, node.attrs, out)
+        head = child.children[0] if child.children else None
+        if head is None or head.kind != "plain":
+            raise MarkupError("a sound without a file")
+        at = head.text.find(' "')
+        names.append(_sound_file(head.text if at < 0 else head.text[:at]))
+        children.append(Node(child.kind, child.text, child.attrs, [Node("plain", "" if at < 0 else head.text[at:]), *child.children[1:]]))
+    return Node("sound", attrs={**node.attrs, "names": names}, children=children)
+
+
+def resolve(node: Node, known: Known) -> Node:
+    """The tree with placeholders resolved by their code: images and sounds by name, articles by offset, tables, pictures and web pages by the descriptor; a second time nothing changes."""
+    children = []
+    for child in node.children:
+        child = resolve(child, known)
+        children.append(_resolved(child, known) if child.kind == "placeholder" else _named_sounds(child) if child.kind == "sound" else child)
+    return Node(node.kind, node.text, node.attrs, children)
+
+
+def resolve_articles(node: Node, heading_of: Callable[[int, str], str]) -> Node:
+    """The tree in which each reference to an article shows the heading that ``heading_of`` gives for its place and caption."""
+    children = [resolve_articles(c, heading_of) for c in node.children]
+    if node.kind == "article_reference":
+        caption = "".join(map(_dsl, children))
+        return Node(node.kind, node.text, {**node.attrs, "heading": heading_of(node.attrs["offset"] - 1, caption.strip(TRIMMED))}, children)
+    return Node(node.kind, node.text, node.attrs, children)
+
+
+def picture(lines: Iterator[str]) -> dict:
+    """Header, copyright, image and description of an external picture: its attributes are comments, and the first line without is the description."""
+    out = {"header": parse(next(lines, "")), "copyright": "", "image": "", "type": "", "description": Node("text")}
+    for line in lines:
+        line = line.rstrip("\r")
+        for mark, key in (("@C%CR=", "copyright"), ("@C%File=", "image"), ("@C%Type=", "type")):
+            if line.startswith(mark):
+                out[key] = line[len(mark) :]
+                break
+        else:
+            if line.startswith("@C%"):
+                raise MarkupError("an unknown attribute of a picture")
+            if not line.startswith("@C"):
+                out["description"] = parse(line)
+                return out
+    return out
+
+
+def table_text(lines: Iterator[str]) -> dict:
+    """Content and ``mt`` of an external table, which goes up to the line that refers to nothing."""
+    held, mt = [], ""
+    for line in lines:
+        if line.startswith("@C%MT="):
+            mt = line[6:].strip().strip('"')
+            continue
+        held.append(line + "\n")
+        if line.startswith("\\S{;:"):
+            return {"content": parse("".join(held)), "mt": mt}
+    raise MarkupError("a table without an end")
+
+
+def inline(node: Node, secondary: Callable[[str, int], Iterator[str]]) -> Node:
+    """The tree with external tables and pictures read in; ``secondary`` gives the lines of a file from an offset on."""
+    children = [inline(c, secondary) for c in node.children]
+    read = {"table_reference": table_text, "picture_reference": picture}.get(node.kind)
+    more = read(secondary(node.attrs["file"], node.attrs["offset"])) if read else {}
+    return Node(node.kind, node.text, {**node.attrs, **more}, children)
 
 
 def in_range(ranges: list[tuple[str, int, int]], offset: int) -> tuple[str, int]:
