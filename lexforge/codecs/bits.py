@@ -31,6 +31,25 @@ class BitReader:
         self.at = 8 * at
 
 
+class CipheredReader(BitReader):
+    """Bits of a keystream that begins at a byte: each byte is deciphered when it is read, with the cipher byte before it."""
+
+    def __init__(self, data: bytes, at: int = 0, key: int = 0x7F) -> None:
+        super().__init__(data, at)
+        self.start, self.key = at, key
+
+    def read(self, n: int) -> int:
+        end = self.at + n
+        if end > 8 * len(self.data):
+            raise EOFError("the stream has ended")
+        first, last = self.at >> 3, (end + 7) >> 3
+        value = 0
+        for k in range(first, last):
+            value = value << 8 | self.data[k] ^ (self.key if k == self.start else PAD[self.data[k - 1]])
+        self.at = end
+        return value >> (8 * last - end) & ((1 << n) - 1)
+
+
 class BitWriter:
     def __init__(self) -> None:
         self.value = self.size = 0
@@ -169,6 +188,22 @@ def read_article(bits: BitReader, code: PrefixCode, symbols: Sequence[int], pref
     return units_text(out)
 
 
+def write_article(units: Sequence[int], steps: Sequence[tuple[str, int, int]], code: PrefixCode, symbols: Sequence[int], prefix: Sequence[int], system: bool, bits: BitWriter) -> None:
+    """An article of these units in steps (``literal``, unit, 0), or (``prefix`` or ``self``, start, length) for a copy."""
+    bits.write(len(units), 16) if len(units) < 0xFFFF else bits.write(0xFFFF, 16).write(len(units), 32)
+    for kind, a, n in steps:
+        code.encode(symbols.index(article_symbol(kind, a, n, system)), bits)
+        if kind != "literal":
+            bits.write(a, bit_length(len(prefix) if kind == "prefix" else len(units)))
+
+
+def article_symbol(kind: str, a: int, n: int, system: bool) -> int:
+    """What stands for a step of :func:`write_article` in the table of symbols."""
+    if kind == "literal":
+        return a + 0x80 if system else a
+    return n - 3 + (0x40 if kind == "self" else 0) + (0 if system else 0x10000)
+
+
 def text_units(text: str) -> list[int]:
     raw = text.encode("utf-16-le", "surrogatepass")
     return [raw[k] | raw[k + 1] << 8 for k in range(0, len(raw), 2)]

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from ..codecs import charset
-from ..codecs.bits import BitReader, PrefixCode, decipher, interleave, read_article, read_reference, units_text
+from ..codecs.bits import BitReader, CipheredReader, PrefixCode, interleave, read_article, read_reference, units_text
 from ..codecs.deflate import inflate
 from ..functions.text import DECODERS
 
@@ -101,7 +101,7 @@ class Decoder:
 
     def bits(self, at: int) -> BitReader:
         """A fresh stream from there; a keystream starts anew with it."""
-        return BitReader(decipher(self.data[at:])) if self.ciphered else BitReader(self.data, at)
+        return CipheredReader(self.data, at) if self.ciphered else BitReader(self.data, at)
 
     def article(self, reference: int) -> str:
         system = self.d.decoder.startswith("system") or self.d.decoder == "user_legacy"
@@ -127,6 +127,20 @@ class Decoder:
             yield interleave(units_text(known), pairs), reference
 
 
+def page_ranges(data: bytes, d: Dictionary, pages: int) -> Iterator[tuple[int, int, bytes, int]]:
+    """For each range of pages: first, last, the tables with just these pages, and where they begin in that."""
+    after = [x for x in (d.pages_at, d.articles_at, d.annotation_at, d.overlay_list, len(data)) if x > d.tables_at]
+    tables = data[d.tables_at : min(after)]
+    for k in range(0, d.pages, pages):
+        last = min(d.pages, k + pages)
+        yield k, last, tables + data[d.pages_at + 512 * k : d.pages_at + 512 * last], len(tables)
+
+
+def page_decoder(data: bytes, version: int, first: int, pages_at: int) -> Decoder:
+    """The decoder of a range of :func:`page_ranges`, whose pages keep their numbers."""
+    return Decoder(data, Dictionary(version, DECODERS[version], 0, 0, 0, pages_at=pages_at - 512 * first))
+
+
 def _symbols(bits: BitReader) -> list[int]:
     n, width = bits.read(32), bits.read(8)
     return [bits.read(width) for _ in range(n)]

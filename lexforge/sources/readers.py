@@ -52,15 +52,16 @@ def headings(spark: SparkSession, path: str) -> DataFrame:
     """Headings of all leaf pages, in page ranges that are spread over the cluster."""
 
     def ranges(path: str, content: bytes):
-        n = formats.dictionary(content).pages
-        yield from ({"first": k, "last": min(n, k + PAGES)} for k in range(0, n, PAGES))
+        d = formats.dictionary(content)
+        for first, last, data, at in formats.page_ranges(content, d, PAGES):
+            yield {"version": d.version, "first": first, "last": last, "data": data, "pages_at": at}
 
-    files = _files(spark, path)
-    cut = _rows(files, "path string, first int, last int, error string", ranges).where("error is null").select("path", "first", "last")
-    spread = cut.repartition(F.col("path"), F.col("first")).join(files, "path")
+    # a range has its own pages and the tables, not the whole file
+    cut = _rows(_files(spark, path), "path string, version int, first int, last int, data binary, pages_at int, error string", ranges)
+    spread = cut.repartition(F.col("path"), F.col("first")).drop("error").where("data is not null")
 
-    def rows(path: str, first: int, last: int, content: bytes):
-        decoder = formats.Decoder(content, formats.dictionary(content))
+    def rows(path: str, version: int, first: int, last: int, data: bytes, pages_at: int):
+        decoder = formats.page_decoder(data, version, first, pages_at)
         for page in range(first, last):
             for k, (chars, reference) in enumerate(decoder.page(page)):
                 yield {"page": page, "pos": k, "ordinal": page << 16 | k, "reference": reference, "chars": [{"chr": c, "sorted": s, "escaped": e} for c, s, e in chars]}
