@@ -166,12 +166,55 @@ def blocks_of(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def read_ranges(requests: DataFrame, blocks: DataFrame, key: str, offset: str, size: str) -> DataFrame:
-    """What lies at offset, size bytes long, put together from the blocks it reaches over."""
+    """What lies at offset, size bytes long (-1: up to the end), put together from the blocks it reaches over.
+
+    At the end of the archive a content is as long as there is something; one
+    that begins beyond it is null, as is that of an unknown archive.
+    """
+    last = blocks.groupBy(key).agg(F.max("block_no").alias("_last"))
+    asked = requests.select(key, offset, size).distinct().join(last, key)
     b0 = F.floor(F.col(offset) / BLOCK).cast("int")
-    b1 = F.floor((F.col(offset) + F.greatest(F.col(size), F.lit(1)) - 1) / BLOCK).cast("int")
-    wanted = requests.select(key, offset, size, F.explode(F.sequence(b0, b1)).alias("block_no"))
+    b1 = F.when(F.col(size) < 0, F.col("_last")).otherwise(F.least(F.floor((F.col(offset) + F.greatest(F.col(size), F.lit(1)) - 1) / BLOCK).cast("int"), F.col("_last")))
+    wanted = asked.where((F.col(offset) >= 0) & (b0 <= b1)).select(key, offset, size, F.explode(F.sequence(b0, b1)).alias("block_no"))
     whole = wanted.join(blocks, [key, "block_no"]).groupBy(key, offset, size).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "data"))), lambda x: x["data"]), "").alias("_all"))
-    return whole.withColumn("content", F.substring(F.col("_all"), (F.col(offset) % BLOCK + 1).cast("int"), F.col(size).cast("int"))).drop("_all")
+    skip = (F.col(offset) % BLOCK).cast("int")
+    rest = F.when(F.col(size) < 0, F.length("_all")).otherwise(F.col(size)).cast("int")
+    found = whole.where(F.length("_all") >= skip).select(key, offset, size, F.substring(F.col("_all"), skip + 1, rest).alias("content"))
+    return requests.join(found, [key, offset, size], "left")
+
+
+# checks
+def articles_of(leaves: DataFrame, kind: str = "type") -> DataFrame:
+    """Leaves of an index that stand for articles: plain ones and variants."""
+    return leaves.where(F.col(kind).isin(1, 10))
+
+
+def within_archive(rows: DataFrame, offset: str, size: str | int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose offset lies in an archive of so many decoded bytes, and those that are to be reported and left out; a null or negative offset is out."""
+    inside = F.coalesce((F.col(offset) >= 0) & (F.col(offset) < (F.col(size) if isinstance(size, str) else F.lit(size))), F.lit(False))
+    return rows.where(inside), rows.where(~inside)
+
+
+def with_files(references: DataFrame, files: DataFrame, name: str, file_name: str, content: str) -> DataFrame:
+    """Each reference with the content of its file, found in any case; without one it is empty, and ``missing`` is set."""
+    known = first_of(files.select(F.lower(file_name).alias("_lower"), F.col(file_name).alias("_file"), F.col(content).alias("_content")), ["_lower"], ["_file"])
+    out = references.join(known, F.lower(name) == F.col("_lower"), "left")
+    return out.withColumn("missing", F.col("_lower").isNull()).withColumn("content", F.coalesce("_content", F.lit(b""))).drop("_lower", "_file", "_content")
+
+
+def total_samples(entries: DataFrame, size: str = "sample_size") -> DataFrame:
+    """Samples of an audio archive in all, as a 64-bit sum; none is 0."""
+    return entries.agg(F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("total_samples"))
+
+
+def stacked(images: DataFrame, group: str, width: str, height: str) -> DataFrame:
+    """Size of the images of a group put one below the other: the greatest width, the sum of the heights."""
+    return images.groupBy(group).agg(F.max(width).alias("width"), F.sum(height).alias("height"))
+
+
+def first_mark(text: str, mark: str = "@", within: int = 0x200):
+    """Where the mark is first found in the first characters, from 0; -1 if it isn't there."""
+    return F.instr(F.substring(F.col(text), 1, within), mark) - 1
 
 
 # sequences

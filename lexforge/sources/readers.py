@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ def _rows(df: DataFrame, schema: str, rows: Callable[..., Iterator[dict]]) -> Da
                 values = {n: batch.column(n)[k].as_py() for n in names}
                 try:
                     out = [{"path": values["path"], "error": None} | r for r in rows(**values)]
-                except (ValueError, EOFError, KeyError, StopIteration) as e:
+                except (ValueError, EOFError, LookupError, StopIteration, ArithmeticError, struct.error, zlib.error) as e:
                     out = [{"path": values["path"], "error": f"{type(e).__name__}: {e}"}]
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kinds)
@@ -113,6 +115,42 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
     return _rows(content, "path string, block_no int, data binary, error string", rows)
 
 
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionaries of each manifest, with what their descriptors say and the archives they use.
+
+    A manifest is read beside its own folder: files are found in any case and
+    named as they are on disk. Only names are listed there, and only
+    descriptors opened.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(folder.alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file")).groupBy("folder").agg(F.collect_list("file").alias("files"))
+    small = every.where(F.lower("path").rlike(r"\.ld$")).select(folder.alias("folder"), F.struct(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "content").alias("x")).groupBy("folder").agg(F.collect_list("x").alias("descriptors"))
+    wanted = every.where(F.lower("path").endswith(".inf")).select("path", "content", folder.alias("folder")).join(names, "folder").join(small, "folder", "left").select("path", "content", "files", "descriptors")
+
+    def rows(path: str, content: bytes, files: list[str], descriptors: list[dict] | None):
+        disk = dict.fromkeys(files, b"") | {x["file"]: bytes(x["content"]) for x in descriptors or ()}
+        for x in formats.manifest(content, disk):
+            d = formats.descriptor(disk[x["ld"]])
+            yield x | {
+                "base": d.base, "name": d.name, "language": d.language, "ranges": [dict(zip(("file", "first", "last"), r)) for r in d.ranges], "references": [dict(zip(("type", "name", "code"), r)) for r in d.references],
+            }
+
+    schema = "path string, version int, ld string, hic string, idx string, bof string, resources array<struct<fsi:string,bof:string,idx:string,fsd:string>>, base string, name string, language string, ranges array<struct<file:string,first:long,last:long>>, references array<struct<type:string,name:string,code:string>>, error string"
+    return _rows(wanted, schema, rows)
+
+
+def blobs(spark: SparkSession, path: str, entries: DataFrame) -> DataFrame:
+    """Contents of the entries (path of a blob file, name, offset, size): what lies there, filled up with zeros to its size."""
+    wanted = entries.groupBy("path").agg(F.collect_list(F.struct("name", "offset", "size")).alias("wanted"))
+
+    def rows(path: str, content: bytes, wanted: list[dict]):
+        for w in wanted:
+            yield {"name": w["name"], "content": content[w["offset"] : w["offset"] + w["size"]].ljust(w["size"], b"\0")}
+
+    return _rows(_files(spark, path).join(wanted, "path"), "path string, name string, content binary, error string", rows)
+
+
 def resources(spark: SparkSession, path: str) -> DataFrame:
     def rows(path: str, content: bytes):
         for name, offset, size in formats.resource_entries(content):
