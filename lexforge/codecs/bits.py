@@ -52,15 +52,18 @@ class CipheredReader(BitReader):
 
 class BitWriter:
     def __init__(self) -> None:
-        self.value = self.size = 0
+        self.whole, self.rest, self.size = bytearray(), 0, 0
 
     def write(self, value: int, n: int) -> BitWriter:
-        self.value, self.size = self.value << n | value & ((1 << n) - 1), self.size + n
+        many = self.size % 8 + n
+        rest = self.rest << n | value & ((1 << n) - 1)
+        self.whole += (rest >> many % 8).to_bytes(many // 8, "big")
+        self.rest, self.size = rest & ((1 << many % 8) - 1), self.size + n
         return self
 
     def data(self) -> bytes:
-        n = -(-self.size // 8)
-        return (self.value << (8 * n - self.size)).to_bytes(n, "big")
+        many = self.size % 8
+        return bytes(self.whole) + (bytes((self.rest << (8 - many),)) if many else b"")
 
 
 def bit_length(n: int) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 from .tables import FIXED_DISTANCES, FIXED_LITERALS
 
@@ -39,15 +40,20 @@ _FIXED = _codes(FIXED_LITERALS), _codes(FIXED_DISTANCES)
 
 class _Bits:
     def __init__(self, data: bytes) -> None:
-        self.value, self.left = int.from_bytes(data, "little"), 8 * len(data)
-        self.size = self.left
+        self.data, self.at, self.held, self.many = data, 0, 0, 0
 
     def take(self, n: int) -> int:
-        if n > self.left:
-            raise EOFError("the block has ended")
-        at = self.size - self.left
-        self.left -= n
-        return self.value >> at & ((1 << n) - 1)
+        while self.many < n:
+            if self.at == len(self.data):
+                raise EOFError("the block has ended")
+            self.held |= self.data[self.at] << self.many
+            self.at, self.many = self.at + 1, self.many + 8
+        value = self.held & ((1 << n) - 1)
+        self.held, self.many = self.held >> n, self.many - n
+        return value
+
+    def align(self) -> None:
+        self.take(self.many % 8)
 
     def symbol(self, codes: dict[tuple[int, int], int]) -> int:
         code = 0
@@ -64,7 +70,7 @@ def inflate(data: bytes, limit: int = 32 << 10) -> bytes:
     while not last:
         last, kind = bool(bits.take(1)), bits.take(2)
         if kind == 0:
-            bits.left -= bits.left % 8
+            bits.align()
             n, check = bits.take(16), bits.take(16)
             if n != check ^ 0xFFFF:
                 raise ValueError("a stored block with a wrong size")
@@ -119,5 +125,13 @@ def deflate_fixed(data: bytes) -> bytes:
     return out.to_bytes(-(-size // 8), "little")
 
 
+def deflate_dynamic(data: bytes) -> bytes:
+    """Blocks with codes of their own, where an ordinary compressor would make such, else a stored one."""
+    machine = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = machine.compress(data) + machine.flush()
+    # fixed blocks, which are others here, could only come first: all of it is one block up to 8 KiB
+    return raw if raw[0] >> 1 & 3 == 2 else deflate_stored(data)
+
+
 def deflate_stored(data: bytes) -> bytes:
     return b"\x01" + struct.pack("<HH", len(data), len(data) ^ 0xFFFF) + data

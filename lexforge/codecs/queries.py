@@ -46,14 +46,23 @@ def _sound(text: pd.Series) -> pd.DataFrame:
 def _inflated(text: pd.Series) -> pd.Series:
     def one(t):
         data = t.encode()
-        return b"".join(deflate.inflate(deflate.deflate_stored(data[k : k + 8192])) for k in range(0, len(data), 8192)).decode()
+        return b"".join(deflate.inflate(pack(data[k : k + 8192])) for k in range(0, len(data), 8192)).decode()
+
+    def pack(part: bytes) -> bytes:
+        # blocks of all three kinds: fixed ones where all bytes have a code in it, mostly dynamic ones
+        if len(part) % 3 == 0:
+            try:
+                return deflate.deflate_fixed(part)
+            except ValueError:
+                pass
+        return deflate.deflate_dynamic(part)
 
     return text.map(lambda t: None if t is None else one(t))
 
 
 QUERIES = {
-    "xor_stream": (lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", F.md5(_ciphered("text")).alias("digest")), "SELECT conv_id, turn, md5(text) AS digest FROM conversations"),
+    "xor_stream": (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(_ciphered("text")).alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents"),
     "huffman": (lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", F.octet_length(_packed("text")).alias("n_bytes")), None),
     "adpcm": (lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", _sound("text").alias("x")).select("conv_id", "turn", "x.n", "x.peak"), None),
-    "inflate": (lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", F.md5(_inflated("text")).alias("digest")), "SELECT conv_id, turn, md5(text) AS digest FROM conversations"),
+    "inflate": (lambda s, d: _table(s, d, "documents").select("doc_id", F.md5(_inflated("text")).alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents"),
 }

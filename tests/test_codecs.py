@@ -84,3 +84,21 @@ def test_charset():
     assert charset.decode(b"\xff\x00\x00\x00") == "?"
     with pytest.raises(ValueError):
         charset.decode(b"\xa0")
+
+
+def test_dynamic_and_long_blocks():
+    text = b"a block of some words, and more of the same words. " * 160
+    raw = deflate.deflate_dynamic(text)
+    assert raw[0] >> 1 & 3 == 2 and len(raw) < len(text) / 4 and deflate.inflate(raw) == text
+    assert deflate.inflate(b"\x00" + deflate.deflate_stored(b"one")[1:] + deflate.deflate_fixed(b"cab")) == b"onecab"
+    noise = bytes(range(256)) * 32
+    assert deflate.inflate(deflate.deflate_dynamic(noise)) == noise
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**40), st.integers(0, 41)), max_size=60))
+def test_bits_written_are_read(fields):
+    out = bits.BitWriter()
+    for value, n in fields:
+        out.write(value, n)
+    back = bits.BitReader(out.data())
+    assert [back.read(n) for _, n in fields] == [v & ((1 << n) - 1) for v, n in fields] and len(out.data()) == -(-sum(n for _, n in fields) // 8)
