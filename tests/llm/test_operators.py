@@ -207,6 +207,83 @@ def test_segments_against_brute_force():
             assert b <= c and s == pytest.approx(total(a, b))
 
 
+def test_all_maximal_segments_against_brute_force():
+    rng = np.random.default_rng(6)
+
+    def maximal(scores, a, b):
+        """The definition, by recursion: the best segment, shortest first, and those of what is left and right of it."""
+        best = max(((float(scores[i:j].sum()), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        _, _, _, i, j = best
+        return [*maximal(scores, a, i), (i, j), *maximal(scores, j, b)]
+
+    for _ in range(80):
+        scores = rng.normal(-0.2, 1, 16)
+        scores[scores <= 0] = -0.25
+        at = np.flatnonzero(scores > 0).tolist()
+        assert [(a, b) for a, b, _ in toxicity.segments(at, scores[at].tolist(), -0.25)] == maximal(scores, 0, 16)
+
+
+def test_log_e_of_a_text():
+    location, scale, n = 1.0, 1.5, 200
+    one = (9.0 - location - scale * np.log(n)) / scale
+    assert toxicity.doc_log_e([9.0], n, location, scale) == pytest.approx(-one)
+    two = (12.0 - location - scale * np.log(n)) / scale
+    both = one + two
+    assert toxicity.doc_log_e([9.0, 12.0, 0.1], n, location, scale) == pytest.approx(min(-two, -both + np.log(both) - np.log(2)))
+
+
+def test_isolation_forest_against_brute_force():
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(0, 1, (400, 3)), [[9.0, 9.0, 9.0], [0.0, -8.0, 0.0]]))
+    forest = quality.grow(x, 60, 128, 5)
+
+    def depth(k, row):
+        at, n = 0, 0
+        while forest.feature[k][at] >= 0:
+            at = (forest.left if row[forest.feature[k][at]] < forest.split[k][at] else forest.right)[k][at]
+            n += 1
+        return n, forest.path[k][at]
+
+    expected = 2 * (np.log(127) + 0.5772156649015329) - 2 * 127 / 128
+    want = [2 ** (-np.mean([depth(k, row)[1] for k in range(60)]) / expected) for row in x]
+    scores = forest.scores(x)
+    assert scores == pytest.approx(want) and np.argmax(scores) == 400
+    for k in range(60):
+        leaves = {}
+        # of the sample no leaf is empty, and a path has the leaf's depth at least
+        for row in x[:50]:
+            n, path = depth(k, row)
+            assert n <= 7 and path >= n
+            leaves[n] = path
+    assert quality._expected(2) == 1.0 and quality._expected(1) == 0.0
+
+
+def test_templates_of_random_pages_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    parts = [f"<div class=a{k}><p>part {k}</p></div>" for k in range(12)]
+    rare = [1.0, 0.9, 0.5, 0.3, 0.2, 0.15, 0.12, 0.08, 0.05, 0.03, 0.02, 0.02]
+    rows = []
+    for host in ("one.example.com", "two.example.org"):
+        for k in range(90):
+            some = [p for p, r in zip(parts, rare) if rng.random() < r]
+            rows.append((len(rows), f"http://{host}/{k}", f"<html><body>{''.join(some)}<p>own {len(rows)}</p></body></html>", some, host))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    # each page's content is its own, so a part is a template if five pages of the host and a tenth of them have it
+    count = {(h, p): sum(p in r[3] for r in rows if r[4] == h) for h in {r[4] for r in rows} for p in parts}
+    want = {r[0]: "\n".join([re.search("part [0-9]+", p)[0] for p in r[3] if count[r[4], p] < max(html_template.MIN_PAGES, html_template.SHARE * 90)] + [f"own {r[0]}"]) for r in rows}
+    assert {r.page_id: r.text for r in html_template.extracted(pages).collect()} == want
+
+
+def test_pages_and_urls_that_are_long_or_deep(spark):
+    deep, wide = "<div>" * 20_000 + "in" + "</div>" * 20_000, "<p>" + "word " * 200_000 + "</p>"
+    pages = spark.createDataFrame([(1, "http://a.example.com/" + "x/" * 50_000, deep), (2, "http://" + "a." * 20_000 + "example.com/", wide)] * 2, "page_id long, url string, html string")
+    got = html_template.extracted(pages).collect()
+    assert sorted((r.page_id, len(r.text)) for r in got) == [(1, 2), (1, 2), (2, 5 * 200_000 - 1), (2, 5 * 200_000 - 1)]
+    assert [r.action for r in url_filter.filtered(pages, [("example.com", "block")]).collect()] == ["block"] * 4
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -359,10 +436,38 @@ def test_copies_and_chance_are_no_template(spark):
     assert got == {k: f"{x}\nby chance" if k < 6 else x for k, x in enumerate(texts)}
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    labels = spark.createDataFrame([(0, 1, 0), (6, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "a benchmark item of several words"), (2, None)], "item_id long, text string")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    bench.write.parquet(f"{sf}/benchmark.parquet")
+    texts = [*ODD, "see: a benchmark item of several words", "same text here now"]
+    full = docs(spark, texts).unionByName(docs(spark, ["lost", None], [None, None]))
+    want = {
+        "toxicity": [*range(11), None, None], "line_dedup": [0, 1, 2, 3, 4, 5, 6, 8, 9, None, None], "ngram_join": [0, 1, 2, 3, 4, 5, 6, 8, 9, None, None],
+        "decontamination": [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, None, None], "bpe": [*range(11), None, None],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full, sf)
+        assert sorted((r.doc_id for r in out.collect()), key=lambda x: (x is None, x)) == want[name], name
+        assert name == "bpe" or out.columns == full.columns
+        assert stage(spark, full.limit(0), sf).count() == 0
+    assert corpus_pipeline.STAGES[1][1](spark, full, sf).where("doc_id = 5").first().text == texts[5]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     d = spark.read.parquet(f"{D}/documents.parquet")
     out = corpus_pipeline.run(spark, D)
+    # stage by stage, each on what the one before it returned
+    left = d
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = spark.createDataFrame(stage(spark, left, D).collect(), d.schema)
+    assert {r.doc_id: r.tokens for r in out.collect()} == {r.doc_id: r.tokens for r in bpe.encode(left).collect()}
+    assert {r.doc_id: r.text for r in bpe.decode(out).collect()} == {r.doc_id: r.text for r in left.collect()}
     assert 0 < out.count() <= d.count() and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
     assert set(llm.queries()) >= {f for f in llm.oracles()}
