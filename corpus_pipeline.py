@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
 keep the columns of ``documents``.
+
+In every stage rows with a null ``doc_id`` or ``text`` and empty texts stay
+(they are neither toxic nor copies nor leaks), extra columns are kept whatever
+their names, and an empty table stays empty. Rows that share a ``doc_id`` are
+treated as one document where stages go by ``doc_id``.
 """
 
 from __future__ import annotations
@@ -16,22 +21,27 @@ from lexforge.llm._text import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model fitted on the labels calls toxic go; without both kinds of labels none does."""
     return toxicity.harmless(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are similar to an earlier one go, and documents of which nothing else was left."""
     return line_dedup.dedup_lines(docs)
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that near-duplicate links connect, the document of least ``doc_id`` stays."""
     return ngram_join.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a verbatim match of a benchmark item go."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, every row kept; a null text has null tokens."""
     return bpe.encode(docs)
 
 
@@ -43,7 +53,7 @@ STAGES = [
     ("bpe", tokenise),
 ]
 
-#: SQL can't train and scan for toxic passages, nor merge byte pairs; tests compare each stage with brute force.
+#: SQL can't train and scan for toxic passages, nor merge byte pairs. Tests compare line dedup, n-gram join, decontamination and BPE with brute force, toxicity with held-out labels, and the run with its stages one by one.
 ORACLE_SQL = None
 
 
