@@ -200,7 +200,7 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     sizes = contents.groupBy("site").agg(F.countDistinct("content").alias("pages"))
     counted = nodes.join(near, ["site", "node"]).join(contents, ["site", "page"]).groupBy("site", "node").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= min_pages)
     template = checkpointed(counted.join(sizes, "site").where(F.col("n") >= share * F.col("pages")).select("site", "node"))
-    if small(template, 32):
+    if small(template, 128):  # of a number in a set of Python's
         # the pages stay where they are; a page's own subtrees among its site's are the same as in the join below
         sites: dict[int, set[int]] = {}
         for site, node in template.toLocalIterator():
