@@ -327,6 +327,87 @@ def test_quality_on_held_out_labels(spark):
     assert sum(x in kept for x in good) >= 0.95 * len(good) and sum(x not in kept for x in bad) >= 0.5 * len(bad)
 
 
+def test_quality_is_fitted_on_all_labels(spark, monkeypatch):
+    n = 50_000
+    h = lambda k, m: F.pmod(F.xxhash64("id", k), F.lit(m))
+    word = lambda k: F.concat(F.lit("w"), F.translate(F.substring(h(k, 10**9).cast("string"), F.lit(1), (1 + h(k, 7)).cast("int")), "12345678", "abcdefgh"))
+    # texts of 6 to 35 words; good ones have up to 3 signs, bad ones up to 40
+    signs = F.when(F.col("id") % 10 == 0, h(F.lit(-2), 41)).otherwise(h(F.lit(-3), 4)).cast("int")
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), 6 + h(F.lit(-1), 30)), word), " "), F.repeat(F.lit(" #|"), signs))
+    d = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 != 0).cast("int").alias("quality"))
+    drawn = []
+    grown = quality._grown
+    monkeypatch.setattr(quality, "_grown", lambda samples, seed: drawn.append(samples) or grown(samples, seed))
+    forest = quality.fit(d, labels)
+    rows = d.orderBy("doc_id").collect()
+    x, words = quality.statistics(pa.array([r.text for r in rows]))
+    good = np.array([r.doc_id % 10 != 0 for r in rows])
+    lengths = np.sort(words[good])[::-1]
+    long = good & (words >= lengths[len(lengths) // 2 - 1])
+    assert (forest.centre == np.median(x[long], 0)).all()
+    # every tree draws from all good documents
+    part = {tuple(r) for r in forest.shrunk(x[good], words[good]).tolist()}
+    assert len(drawn[0]) == quality.TREES and all(s.shape == (quality.TREE_ROWS, len(quality.STATISTICS)) for s in drawn[0])
+    assert all(tuple(r) in part for s in drawn[0] for r in s.tolist())
+    # the threshold by trying every cut
+    scores = forest.scores(forest.shrunk(x, words))
+    best, want = 0.0, np.inf
+    known = np.unique(scores)[::-1]
+    bad_scores, good_scores = np.sort(scores[~good]), np.sort(scores[good])
+    for s, after in zip(known, known[1:]):
+        tp, fp = ((len(a) - np.searchsorted(a, s)) / len(a) for a in (bad_scores, good_scores))
+        if fp > quality.FALSE_POSITIVES:
+            break
+        if tp - fp > best:
+            best, want = tp - fp, (s + after) / 2
+    assert np.isfinite(want) and forest.threshold == want
+    # many labels are joined with the statistics instead, and parts of the table don't matter
+    monkeypatch.setattr(quality, "small", lambda df, size: False)
+    again = quality.fit(d.repartition(7), labels.union(labels.limit(0)))
+    assert all(np.array_equal(getattr(forest, k), getattr(again, k)) for k in ("feature", "split", "left", "right", "path", "centre")) and forest.threshold == again.threshold
+
+
+def test_quality_statistics_are_of_one_text():
+    texts = ["so #", "# much |", "|", "", "", "\n", "#A 1", "1A|x", "x"]
+    x, words = quality.statistics(pa.array(texts))
+    for k, text in enumerate(texts):
+        one, n = quality.statistics(pa.array([text]))
+        assert (x[k] == one[0]).all() and words[k] == n[0]
+
+
+def test_quality_draws_and_medians(spark):
+    rng = np.random.default_rng(4)
+    n = len(quality.STATISTICS)
+    x = np.concatenate((rng.normal(0, 3, (301, n)), rng.integers(-2, 3, (100, n)).astype(float)))
+    table = lambda x: spark.createDataFrame([(k % 90, 5 + k % 7, row) for k, row in enumerate(x.tolist())], "doc_id long, words long, x array<double>").repartition(5)
+    for some in (x, x[:-1], x[:1], x[:2]):
+        assert (quality._medians(table(some), len(some)) == np.median(some, 0)).all()
+    got, words, draws = quality._drawn(table(x), 40, 300, 3)
+    assert [len(set(d.tolist())) for d in draws] == [300] * 40 and len(got) == len(x)
+    assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, x.tolist()))  # 40 draws of 300 out of 401 leave none out
+    assert {tuple(r): w for r, w in zip(got.tolist(), words.tolist())} == {tuple(r): 5 + k % 7 for k, r in enumerate(x.tolist())}
+    got, _, draws = quality._drawn(table(x[:9]), 2, 300, 3)
+    assert len(got) == 9 and all(sorted(d.tolist()) == list(range(9)) for d in draws)
+
+
+def test_quality_threshold(spark):
+    rng = np.random.default_rng(6)
+    for n, shift in ((2_000, 1.0), (150, 1.0), (900, 8.0), (500, -9.0)):
+        good = rng.random(n) < 0.8
+        scores = np.round(rng.normal(0, 1, n) + shift * ~good, 1 if n == 900 else 2)  # with ties
+        want, best = np.inf, 0.0
+        known = np.unique(scores)[::-1]
+        for s, after in zip(known, known[1:]):
+            tp, fp = (scores[~good] >= s).sum() / (~good).sum(), (scores[good] >= s).sum() / good.sum()
+            if fp <= quality.FALSE_POSITIVES and tp - fp > best:
+                best, want = tp - fp, (s + after) / 2
+        table = spark.createDataFrame(list(zip(good.tolist(), scores.tolist())), "good boolean, score double").repartition(3)
+        assert quality._threshold(table, int(good.sum())) == want
+    only = spark.createDataFrame([(True, 0.5)], "good boolean, score double")
+    assert quality._threshold(only, 1) == np.inf
+
+
 def test_bpe_is_that_of_the_rank_file(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.RANKS, "rb"))}
     import public_tokenizers as P
