@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BROADCAST_BYTES, U64, dropped, flat, hashes, lower, mix, partitions, pieces, spans, stored
+from ._text import BROADCAST_BYTES, U64, dropped, flat, hashes, lower, mix, partitions, pieces, released, spans, stored
 
 BUCKETS = 24
 SLICES = 64
@@ -50,7 +50,7 @@ HOT = 1 << 22
 SHARED = 8
 #: Bits of the bitmap of a large line.
 MAX_BITS = 4096
-#: Pairs that are looked at together within a partition.
+#: Pairs that are looked at together within a partition; a quarter of them where each has many numbers.
 PAIRS = 1 << 20
 #: An element with fewer sets always gives pairs, not a star.
 STAR = 16
@@ -175,15 +175,14 @@ def scanned(docs: DataFrame, spec: Spec) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.sig), pa.array(s.sig2), pa.array(ids[s.row]), pa.array(s.line.astype(np.int32)), pa.array(s.size.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["sig", "sig2", "doc_id", "line", "size", "slice", "data"]
                 )
-        used = [k for k in range(SLICES) if total[k * width : (k + 1) * width].any()]
-        if used:
-            n = len(used)
-            data = [_packed(total[k * width : (k + 1) * width]) for k in used]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.int32()) for _ in range(2)), pa.array(used, pa.int32()), pa.array(data, pa.binary())], ["sig", "sig2", "doc_id", "line", "size", "slice", "data"]
-            )
+        for k in range(SLICES):  # a batch each: packed all at once they'd be copied together
+            part = total[k * width : (k + 1) * width]
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.nulls(1, pa.int32()) for _ in range(2)), pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], ["sig", "sig2", "doc_id", "line", "size", "slice", "data"]
+                )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 _CODEC = pa.Codec("zstd", 1)
@@ -213,7 +212,7 @@ def rarity(scan: DataFrame) -> tuple[np.ndarray, int]:
     table = np.zeros(1 << BUCKETS, np.uint8)
     every = 0
     parts = scan.where("slice is not null").select("slice", "data")
-    for k, data, total in parts.repartition(min(SLICES, partitions(scan.sparkSession)), "slice").mapInArrow(add, "slice int, data binary, total long").collect():
+    for k, data, total in parts.repartition(min(SLICES, partitions(scan.sparkSession)), "slice").mapInArrow(released(add), "slice int, data binary, total long").collect():
         table[k * width : (k + 1) * width] = np.frombuffer(data, np.uint8)
         every += total
     return table, every
@@ -332,7 +331,7 @@ def _pairs(e: Entries, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     begin = 0
     while begin < n:
         base = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, base + spec.pairs, "right")))
+        end = max(begin + 1, int(np.searchsorted(total, base + spec.pairs // 4, "right")))
         left = np.repeat(np.arange(begin, end), many[begin:end])
         right = left + 1 + np.arange(len(left)) - np.repeat(total[begin:end] - many[begin:end] - base, many[begin:end])
         ok = e.passing(left, right, spec)
@@ -523,8 +522,8 @@ def met(docs: DataFrame, spec: Spec, classes: np.ndarray, every: int) -> DataFra
     spark = docs.sparkSession
     parts = max(partitions(spark), math.ceil(every * (1 - spec.threshold) / PART))
     table = spark.sparkContext.broadcast(classes)
-    packed = docs.select("text").mapInArrow(lambda x: emitted(x, spec, table.value, parts), "part int, heads int, entries int, data binary")
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(lambda x: joined(x, spec), MET)
+    packed = docs.select("text").mapInArrow(released(lambda x: emitted(x, spec, table.value, parts)), "part int, heads int, entries int, data binary")
+    return packed.repartitionById(parts, F.col("part")).mapInArrow(released(lambda x: joined(x, spec)), MET)
 
 
 def members(found: DataFrame, spec: Spec) -> DataFrame:
@@ -783,8 +782,8 @@ def verified(docs: DataFrame, spec: Spec, meeting: DataFrame, first: DataFrame)
     wanted = wanted.select("doc_id", "wanted")
     if 120 * rows + 60 * (many or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    again = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda x: sent(x, spec, parts), "part int, sets int, data binary")
-    return again.repartitionById(parts, F.col("part")).mapInArrow(lambda x: checked(x, spec), LINKS)
+    again = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(released(lambda x: sent(x, spec, parts)), "part int, sets int, data binary")
+    return again.repartitionById(parts, F.col("part")).mapInArrow(released(lambda x: checked(x, spec)), LINKS)
 
 
 @dataclass(frozen=True)

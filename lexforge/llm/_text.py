@@ -7,10 +7,11 @@ In a regular expression over the lower-cased text: :data:`WORD`.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,32 @@ def word_hash(text: str) -> int:
     return int(hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
+def give_back() -> None:
+    """Returns to the system what the allocators of Arrow and, where it is glibc's, of C hold but nothing uses."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for ``mapInArrow``, with :func:`give_back` at a task's begin, when Spark has just dropped earlier broadcasts, and at its end.
+
+    Spark keeps its workers, and each would go on holding what the largest of
+    its tasks took.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> None:
     """Sees to it that checkpoints have a folder: the cluster's, or where a local session names none, a temporary one."""
     sc = spark.sparkContext

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, flat, hashes, pieces
+from ._text import U64, flat, hashes, pieces, released
 
 #: Where the rank file is by default.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
                 [piece.column("doc_id"), lists, pa.array(np.diff(at), pa.int32(), mask=null), pa.array(np.diff(offsets), pa.int64(), mask=null), pa.array(exact, mask=null)], ["doc_id", "tokens", "n_tokens", "n_bytes", "exact"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens array<int>, n_tokens int, n_bytes long, exact boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, tokens array<int>, n_tokens int, n_bytes long, exact boolean")
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
@@ -315,4 +315,4 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
             texts = [None if null else back[a:b].tobytes().decode("utf-8", "replace") for a, b, null in zip(total, total[1:], column.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(released(run), "doc_id long, text string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, pieces, words
+from ._text import U64, pieces, released, words
 
 #: A verbatim match of so many words is a leak.
 MIN_WORDS = 13
@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) ->
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in _parts(benchmark, min_words):
-        part = columns.mapInArrow(_report(docs.sparkSession.sparkContext.broadcast(items)), "doc_id long, item_id long, match_words int, item_word int, doc_word int")
+        part = columns.mapInArrow(released(_report(docs.sparkSession.sparkContext.broadcast(items))), "doc_id long, item_id long, match_words int, item_word int, doc_word int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -234,7 +234,7 @@ def _clean(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents into which no item leaks, all columns as they are; see :func:`leaks`."""
     for items in _parts(benchmark, min_words):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(items)), docs.schema)
+        docs = docs.mapInArrow(released(_clean(docs.sparkSession.sparkContext.broadcast(items))), docs.schema)
     return docs
 
 

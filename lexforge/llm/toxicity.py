@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, mix, pieces, small, words
+from ._text import U64, mix, pieces, released, small, words
 
 #: Size of a word's prior in documents, the false discovery rate of the words that score, and their least odds ratio.
 PRIOR, FALSE, ODDS = 10.0, 0.1, 2.0
@@ -149,7 +149,7 @@ def _split(pairs: DataFrame) -> _Split:
         for piece in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), piece.column("h"), pa.array(_sketches(piece.column("text")).view(np.int64))], ["toxic", "h", "copy"])
 
-    table = pairs.mapInArrow(sketch, "toxic int, h long, copy long").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("copy").alias("copy")).toArrow()
+    table = pairs.mapInArrow(released(sketch), "toxic int, h long, copy long").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("copy").alias("copy")).toArrow()
     h, toxic, copy = (table.column(c).to_numpy() for c in ("h", "toxic", "copy"))
     order = np.argsort(h)
     h, toxic, copy = h[order], toxic[order], copy[order]
@@ -209,7 +209,7 @@ def _log_odds(labelled: DataFrame, split) -> list[tuple[np.ndarray, np.ndarray,
             yield flush()
 
     names = [f"c{k}" for k in range(2 * FOLDS)]
-    counts = labelled.mapInArrow(count, "w long, class int, n long").groupBy("w").agg(*(F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).cast("int").alias(c) for k, c in enumerate(names)))
+    counts = labelled.mapInArrow(released(count), "w long, class int, n long").groupBy("w").agg(*(F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).cast("int").alias(c) for k, c in enumerate(names)))
     counts = counts.persist()
     total = np.array([float(x or 0) for x in counts.agg(*(F.sum(c) for c in names)).first()]).reshape(FOLDS, 2)
     folds = [[f for f in range(FOLDS) if f != k] for k in range(FOLDS)] + [list(range(FOLDS))]
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                     found[rows[r]] = [x[2] for x in some]
             yield pa.RecordBatch.from_arrays([piece.column("toxic"), pa.array(n), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
 
-    scored = labelled.mapInArrow(score, "toxic int, n long, scores array<double>").persist()
+    scored = labelled.mapInArrow(released(score), "toxic int, n long, scores array<double>").persist()
     m, ln = F.coalesce(F.array_max("scores"), F.lit(0.0)), F.log(F.greatest("n", F.lit(1)).cast("double"))
     mean, mean_ln, var, cov, var_ln = scored.where("toxic = 0").agg(F.avg(m), F.avg(ln), F.var_pop(m), F.covar_pop(m, ln), F.var_pop(ln)).first()
     # moments of m - scale * ln(n), whose variance is (pi * scale) ** 2 / 6; log-likelihood ratios have a scale of 1 at least
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             bins = [None if math.isinf(x) else max(-2000, min(2000, math.floor(x * 4))) for x in e]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(bins, pa.int32())], ["toxic", "bin"])
 
-    bins = scored.mapInArrow(e_values, "toxic int, bin int").groupBy("bin").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("y0")).collect()
+    bins = scored.mapInArrow(released(e_values), "toxic int, bin int").groupBy("bin").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("y0")).collect()
     scored.unpersist()
     at = _threshold({r["bin"]: (r["y1"], r["y0"]) for r in bins})
     return Model(w, s, drift, location, scale, math.log(LEVEL) if math.isinf(at) else at)
@@ -338,7 +338,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "passage", "start_word", "end_word", "score", "log_e", "doc_log_e"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, passage int, start_word int, end_word int, score double, log_e double, doc_log_e double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, passage int, start_word int, end_word int, score double, log_e double, doc_log_e double")
 
 
 def harmless(docs: DataFrame, model: Model) -> DataFrame:
@@ -353,4 +353,4 @@ def harmless(docs: DataFrame, model: Model) -> DataFrame:
                 keep[r] = doc_log_e([x[2] for x in found], n, m.location, m.scale) > m.log_e
             yield piece.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -145,6 +145,28 @@ def test_a_line_of_all_texts_is_sent_once_a_task(spark):
     assert got == {**{k: (0, 1.0) for k in range(1, 5000)}, 5000: (0, 6 / 7)}
 
 
+@pytest.mark.parametrize("name", ["line_dedup", "ngram_join"])
+def test_workers_give_memory_back(spark, name):
+    import corpus_pipeline
+
+    def unused(batches):
+        import ctypes
+
+        held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")) / 1024
+        for _ in batches:
+            pass
+        before = held()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield pa.RecordBatch.from_arrays([pa.array([before - held()])], ["mb"])
+
+    # 20 MB of words in one task
+    texts = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(0, 999), k -> substr(md5(concat(id, ' ', k % 500)), 1, 9) || if(k % 10 = 0, '\\n', '')), ' ')").alias("text"))
+    dict(corpus_pipeline.STAGES)[name](spark, texts, D).write.format("noop").mode("overwrite").save()
+    left = [r.mb for r in spark.range(0, 8, 1, 4).mapInArrow(unused, "mb double").collect()]
+    assert max(left) < 24, left
+
+
 def test_lines_go_in_long_texts(spark):
     lines = [f"line number {k} of a long text with word{k} and more{k}" for k in range(300)]
     texts = ["\n".join(lines[:5] + lines[100:200]), "\n".join(["an own line", *lines, "", "the last line"]), None, ""]
