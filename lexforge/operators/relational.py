@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..session import cut
@@ -237,8 +240,21 @@ def front_coded(df: DataFrame, page: str, order: list[str], text: str) -> DataFr
 
 
 def front_decoded(df: DataFrame, page: str, order: list[str], keep: list[str]) -> DataFrame:
-    """The texts again, by a fold over each page."""
-    rows = df.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in keep if c not in order), "prefix_len", "suffix"))).alias("_rows"))
-    step = lambda acc, x: F.concat(acc, F.array(F.concat(F.substring(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit(1), x["prefix_len"]), x["suffix"])))
-    texts = F.aggregate("_rows", F.array().cast("array<string>"), step)
-    return rows.select(page, F.explode(F.arrays_zip("_rows", texts.alias("text"))).alias("_x")).select(page, *(F.col(f"_x._rows.{c}") for c in dict.fromkeys([*order, *keep])), F.col("_x.text").alias("text"))
+    """The texts again: each page is sorted and read through once, and of a page only the text before is held."""
+    kept = list(dict.fromkeys([*order, *keep]))
+    rows = df.select(F.col(page).alias("_page"), *kept, F.col("prefix_len").alias("_prefix"), F.col("suffix").alias("_suffix"))
+    first = ~F.coalesce(F.lag(F.lit(True)).over(Window.partitionBy("_page").orderBy(*kept, "_prefix", "_suffix")), F.lit(False))
+    rows = rows.withColumn("_first", first)
+    schema = StructType([StructField(page, rows.schema["_page"].dataType), *(rows.schema[c] for c in kept), StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = ""
+        for b in batches:
+            texts = []
+            for new, n, rest in zip(*(b.column(c).to_pylist() for c in ("_first", "_prefix", "_suffix"))):
+                text = None if n is None or rest is None else ("" if new else before)[: max(n, 0)] + rest
+                texts.append(text)
+                before = text or ""
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_page", *kept)), pa.array(texts, pa.string())], [page, *kept, "text"])
+
+    return rows.mapInArrow(run, schema)

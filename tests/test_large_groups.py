@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lexforge.operators import relational as R
 from lexforge.operators import variants
 
 OPEN, CLOSE = ("(", False, False), (")", False, False)
@@ -55,3 +56,18 @@ def test_collapsed_groups(spark):
         got = {(r.ref, r.ord): [tuple(c) for c in r.chars] for r in variants.collapsed(df, "ref", "ord", "chars", strict).collect()}
         assert got == want
     assert variants.collapsed(df.where(F.lit(False)), "ref", "ord", "chars").collect() == []
+
+
+def test_front_decoding_holds_no_page(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, "p", "q"]), k, rng.choice([None, -1, 0, 1, 3, 9]), rng.choice([None, "", "ab", "é"])) for k in range(400)]
+    want = {}
+    for page in (None, "p", "q"):
+        before = ""
+        for _, k, n, rest in (r for r in rows if r[0] == page):
+            want[page, k] = text = None if n is None or rest is None else before[: max(n, 0)] + rest
+            before = text or ""
+    rng.shuffle(rows)
+    out = R.front_decoded(spark.createDataFrame(rows, "page string, k int, prefix_len int, suffix string"), "page", ["k"], ["k"])
+    assert out.columns == ["page", "k", "text"] and {(r.page, r.k): r.text for r in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().toString()
