@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
@@ -17,6 +20,21 @@ for _name in ("node_id", "parent_id", "pos", "depth"):
 NODE = NODE.add("kind", StringType()).add("text", StringType()).add("attrs", MapType(StringType(), StringType()))
 
 
+#: Bytes of text that are parsed before what came of them is sent on.
+TEXTS = 1 << 18
+_PRINTED = pa.struct([("out", pa.string()), ("error", pa.string())])
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Where they begin, and slices of about ``TEXTS`` bytes; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TEXTS, "right")))
+        yield start, texts.slice(start, stop - start)
+        start = stop
+
+
 @F.pandas_udf(StructType().add("nodes", ArrayType(NODE)).add("error", StringType()))
 def _nodes(text: pd.Series) -> pd.DataFrame:
     def one(t):
@@ -37,17 +55,18 @@ def parsed(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def printed(text: Column, form: Callable[[tree.Node], str]) -> Column:
-    """``tree.dsl``, ``tree.dsl_heading``, ``tree.html`` or ``tree.outline`` of each text, with its error."""
-
-    @F.pandas_udf(StructType().add("out", StringType()).add("error", StringType()))
-    def run(s: pd.Series) -> pd.DataFrame:
-        def one(t):
-            try:
-                return (None if t is None else form(tree.parse(t))), None
-            except (tree.MarkupError, RecursionError) as e:
-                return None, str(e)
-
-        out = [one(t) for t in s]
-        return pd.DataFrame({"out": [x[0] for x in out], "error": [x[1] for x in out]})
+    """``tree.dsl``, ``tree.dsl_heading``, ``tree.html`` or ``tree.outline`` of each text, with its error; sent on in pieces."""
+
+    def one(t: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None if t is None else form(tree.parse(t))), None
+        except (tree.MarkupError, RecursionError) as e:
+            return None, str(e)
+
+    @F.arrow_udf(StructType().add("out", StringType()).add("error", StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for _, texts in _pieces(b):
+                yield pa.array([one(t) for t in texts.to_pylist()], _PRINTED)
 
     return run(text)
