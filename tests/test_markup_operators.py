@@ -20,3 +20,17 @@ def test_printed_in_pieces(spark):
     got = {r.k: (r.x.out, r.x.error) for r in df.select("k", operators.printed(df.t, tree.html).alias("x")).collect()}
     assert len(got) == len(TEXTS) and got[0] == (None, None) and got[3][0] is None and got[3][1]
     assert all(got[k] == (tree.html(tree.parse(t)), None) for k, t in enumerate(TEXTS) if k not in (0, 3))
+
+
+def test_parsed_in_pieces(spark):
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(TEXTS)], "k int, t string, more string").repartition(1)
+    out = operators.parsed(df, "t", "k", "more")
+    assert out.columns == ["k", "more", "error", "node_id", "parent_id", "pos", "depth", "kind", "text", "attrs"]
+    assert "Generate" not in out._jdf.queryExecution().toString()  # no text's nodes travel as one array
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, []).append(tuple(r)[2:])
+    assert got[0] == [(None,) * 8] and len(got[3]) == 1 and got[3][0][0] and len(got[705]) == 9001 > operators.NODES
+    for k, t in enumerate(TEXTS):
+        if k not in (0, 3):
+            assert sorted(got[k], key=lambda x: x[1]) == [(None, i, p, at, d, n.kind, n.text, n.attrs) for i, p, at, d, n in tree.parse(t).walk()]
