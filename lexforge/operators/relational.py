@@ -110,16 +110,24 @@ def without_used(files: DataFrame, used: DataFrame, name: str) -> DataFrame:
 def range_lookup(rows: DataFrame, ranges: DataFrame, offset: str, first: str, last: str, order: str, bucket: int = BUCKET) -> DataFrame:
     """The first range (by ``order``) with first <= offset < last for every row, and the offset within it; null without one.
 
-    Ranges are cut at multiples of ``bucket``, so rows meet them in an
-    equi-join that neither broadcasts nor compares all pairs. Each distinct
-    offset is looked up once.
+    Ranges are cut at multiples of ``bucket``; of those with the same part of a
+    bucket the first stays, so a bucket has few however many ranges there are.
+    Each distinct offset meets its bucket's list once: no row for each pair of
+    an offset and a range that holds it.
     """
-    cells = ranges.where(F.col(first) < F.col(last)).select(*(F.col(c).alias(f"_r_{c}") for c in ranges.columns))
-    f, l = F.col(f"_r_{first}"), F.col(f"_r_{last}")
-    cells = cells.withColumn("_bucket", F.explode(F.sequence(F.floor(f / bucket), F.floor((l - 1) / bucket))))
+    parts = ranges.where(F.col(first) < F.col(last)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor((F.col(last) - 1) / bucket))))
+    low, high = F.greatest(F.col(first), F.col("_bucket") * bucket).alias("_low"), F.least(F.col(last), (F.col("_bucket") + 1) * bucket).alias("_high")
+    parts = parts.select("_bucket", low, high, F.col(order).alias("_order"), F.struct(*ranges.columns).alias("_range")).repartition("_bucket")
+    firsts = parts.groupBy("_bucket", "_low", "_high").agg(F.min_by(F.struct("_order", "_range"), "_order").alias("_first"))
+    lists = firsts.groupBy("_bucket").agg(F.collect_list(F.struct("_low", "_high", F.col("_first._order").alias("_order"), F.col("_first._range").alias("_range"))).alias("_parts"))
     asked = rows.select(F.col(offset).alias("_offset")).where("_offset is not null").distinct().withColumn("_bucket", F.floor(F.col("_offset") / bucket))
-    hit = asked.join(cells, "_bucket").where((f <= F.col("_offset")) & (F.col("_offset") < l))
-    best = hit.groupBy("_offset").agg(F.min_by(F.struct(*(F.col(f"_r_{c}").alias(c) for c in ranges.columns)), f"_r_{order}").alias("range"))
+    holds = F.filter("_parts", lambda x: (x["_low"] <= F.col("_offset")) & (F.col("_offset") < x["_high"]))
+    # a null order counts for nothing, as in min_by
+    earliest = F.reduce(
+        F.filter(holds, lambda x: x["_order"].isNotNull()), F.lit(None).cast(lists.schema["_parts"].dataType.elementType),
+        lambda acc, x: F.when(acc.isNull() | (x["_order"] < acc["_order"]), x).otherwise(acc),
+    )
+    best = asked.join(lists, "_bucket").select("_offset", earliest["_range"].alias("range")).where("range is not null")
     return rows.join(best, F.col(offset) == F.col("_offset"), "left").withColumn("within", F.col(offset) - F.col(f"range.{first}")).drop("_offset")
 
 
